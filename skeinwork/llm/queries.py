@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, packing
-from skeinwork.runtime import table
+from skeinwork.llm import bpe, fingerprint, packing, quality
+from skeinwork.runtime import materialize, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base signals and the verdict of the risk-controlled rules on every document."""
+    measured = materialize(quality.signals(table(spark, sf_dir, "documents"), "doc_id", "lang"), "signals")
+    limits = quality.cutoffs(measured, table(spark, sf_dir, "labels"))
+    return quality.judge(measured, limits).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+    )
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch every document and its edited text, and compare them."""
+    made = fingerprint.edited(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.fingerprint(F.col("sketch")).alias("fingerprint"),
+        fingerprint.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "n_shingles",
+        "kept_in_edited",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op6_quality": op6_quality, "op10_fingerprints": op10_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
