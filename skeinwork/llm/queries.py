@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, fingerprint, packing, quality
+from skeinwork.llm import bpe, chat, fingerprint, packing, quality, warc
 from skeinwork.runtime import materialize, table
 
 
@@ -32,6 +32,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, then read the archives back."""
+    files = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read_files(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format every conversation and one that speaks in control strings, and read them back."""
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.trees(rows.unionByName(hard)))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch every document and its edited text, and compare them."""
     made = fingerprint.edited(table(spark, sf_dir, "documents"))
@@ -48,6 +66,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op6_quality": op6_quality, "op10_fingerprints": op10_fingerprints}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op10_fingerprints": op10_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
