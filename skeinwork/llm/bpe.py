@@ -78,6 +78,7 @@ class Codec:
             raise ValueError(f"the rank file lacks the single bytes {missing}")
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.of_two = {(a, b): ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)}
+        self._known = chunks.Remembered(lambda piece: array("i", self.merge(piece.encode())).tobytes())
         self._first = chunks.Remembered(self._encode, "", 20_000)
         self._later = chunks.Remembered(self._encode, " ")
 
@@ -133,10 +134,7 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def _encode(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.find(text):
-            ids += self.merge(piece.encode())
-        return array("i", ids).tobytes()
+        return b"".join(map(self._known.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as native 32-bit integers."""

@@ -24,19 +24,24 @@ def split(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """piece -> encoding, filled on a miss; emptied when ``most`` entries are reached.
+    """piece -> encoding, filled on a miss, in two generations of at most ``most`` entries.
 
-    Only memory is bounded by that: a forgotten piece is encoded again.
+    A full generation becomes the old one; what is asked for again moves to the new.  Only memory
+    is bounded by that: a forgotten piece is encoded again.
     """
 
-    def __init__(self, encode: Callable[[str], object], before: str, most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], before: str = "", most: int = 200_000):
         super().__init__()
         self.encode, self.before, self.most = encode, before, most
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> object:
-        made = self.encode(self.before + piece)
+    def __missing__(self, piece: str) -> bytes:
+        made = self.old.get(piece)
+        if made is None:
+            made = self.encode(self.before + piece)
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = made
         return made

@@ -44,8 +44,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first = chunks.Remembered(lambda x: self._ids(x), "", 20_000)
-        self.later = chunks.Remembered(lambda x: self._ids(x), " ")
+        self.first = chunks.Remembered(self._ids, "", 20_000)
+        self.later = chunks.Remembered(self._ids, " ")
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
