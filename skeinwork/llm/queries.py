@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, chat, fingerprint, packing, quality, warc
+from skeinwork.llm import bpe, chat, fingerprint, langid, packing, quality, warc
 from skeinwork.runtime import materialize, table
 
 
@@ -23,6 +23,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from three folds of four and predict the language of every document."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(langid.fold(4) == 2, F.lit(False)))
+    model = langid.fit(docs.filter(langid.fold(4) != 2))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals and the verdict of the risk-controlled rules on every document."""
     measured = materialize(quality.signals(table(spark, sf_dir, "documents"), "doc_id", "lang"), "signals")
@@ -66,6 +73,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op10_fingerprints": op10_fingerprints}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op10_fingerprints": op10_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
