@@ -18,7 +18,9 @@ any length is tokenized whole.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,21 +40,40 @@ BLOCK = 16_384
 
 
 class Ids:
-    """Token ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes."""
+    """Token ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
+
+    Pieces between blanks are remembered, and so are their pre-tokens where the file cuts by the
+    public byte-level pattern; other files, and pieces with added tokens, are encoded as they are.
+    """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first = chunks.Remembered(self._ids, "", 20_000)
-        self.later = chunks.Remembered(self._ids, " ")
+        with open(path) as lines:
+            cut = json.load(lines).get("pre_tokenizer") or {}
+        self.byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.known = chunks.Remembered(self._ids, most=400_000)
+        self.first = chunks.Remembered(self._piece, "", 20_000)
+        self.later = chunks.Remembered(self._piece, " ", 250_000)
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._ids(text)
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.byte_level:
+            return self._ids(text)
         first, *rest = chunks.split(text)
         return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest))
 
