@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, chat, fingerprint, langid, packing, quality, warc
+from skeinwork.llm import bpe, chat, fingerprint, langid, packing, quality, simhash, warc
 from skeinwork.runtime import materialize, table
 
 
@@ -57,6 +57,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.trees(rows.unionByName(hard)))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and find the components of near-equal fingerprints."""
+    made = simhash.grouped(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch every document and its edited text, and compare them."""
     made = fingerprint.edited(table(spark, sf_dir, "documents"))
@@ -73,6 +79,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op10_fingerprints": op10_fingerprints}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
