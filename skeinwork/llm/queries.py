@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, chat, fingerprint, langid, packing, quality, simhash, substrings, warc
+from skeinwork.llm import bpe, chat, fingerprint, langid, lm, packing, quality, simhash, substrings, warc
 from skeinwork.runtime import materialize, table
 
 
@@ -36,6 +36,12 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from four folds of five and score every document."""
+    held = F.coalesce(lm.fold(5) == 1, F.lit(True))
+    return lm.score_documents(table(spark, sf_dir, "documents"), held, F.coalesce(lm.fold(5) == 0, F.lit(False)))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base signals and the verdict of the risk-controlled rules on every document."""
     measured = materialize(quality.signals(table(spark, sf_dir, "documents"), "doc_id", "lang"), "signals")
@@ -85,6 +91,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op4_substrings": op4_substrings, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op4_substrings": op4_substrings, "op5_lm": op5_lm, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
 
 ORACLE_SQL: dict[str, str] = {}
