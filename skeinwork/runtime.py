@@ -46,14 +46,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that ``materialize`` wrote, all but the last ``keep``.
+def written() -> int:
+    """How many tables ``materialize`` has written and ``release`` has not deleted."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that ``materialize`` wrote, from number ``since`` on, all but the last ``keep``.
 
     Call it only when every result that reads them has been written elsewhere.
     """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_WRITTEN) > keep:
-        _, path = _WRITTEN.pop(0)
+    while len(_WRITTEN) - keep > since:
+        _, path = _WRITTEN.pop(since)
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 
