@@ -37,19 +37,23 @@ class RankQueue:
     """Buckets of positions per merge rank under a bitmap of two levels.
 
     Bit ``rank % WORD`` of ``low[rank // WORD]`` is set while bucket ``rank`` has entries, and bit
-    ``w`` of ``top`` while ``low[w]`` has bits, so find-first-set twice gives the lowest rank.
+    ``w`` of ``top`` while ``low[w]`` has bits, so find-first-set twice gives the lowest rank.  Only
+    buckets with entries exist, which keeps the whole queue in the processor's cache.
     ``Codec.merge`` works on the fields directly, since calls would cost more than the work.
     """
 
     def __init__(self, n_ranks: int):
-        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
+        self.buckets: dict[int, list[int]] = {}
         self.low = [0] * (n_ranks // WORD + 1)
         self.top = 0
 
     def push(self, rank: int, at: int) -> None:
-        heappush(self.buckets[rank], at)
-        self.low[rank // WORD] |= 1 << rank % WORD
-        self.top |= 1 << rank // WORD
+        if rank in self.buckets:
+            heappush(self.buckets[rank], at)
+        else:
+            self.buckets[rank] = [at]
+            self.low[rank // WORD] |= 1 << rank % WORD
+            self.top |= 1 << rank // WORD
 
     def pop(self) -> tuple[int, int]:
         """The lowest rank and its leftmost position."""
@@ -58,6 +62,7 @@ class RankQueue:
         rank = word * WORD + (bits & -bits).bit_length() - 1
         at = heappop(self.buckets[rank])
         if not self.buckets[rank]:
+            del self.buckets[rank]
             self.low[word] = bits & (bits - 1)
             if not self.low[word]:
                 self.top &= self.top - 1
@@ -70,16 +75,17 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
+        #: The pattern takes letters after a blank as one match.
+        self.letters_whole = self.find(" aé漢ªǅ x") == [" aé漢ªǅ", " x"]
         self.bytes_of = {i: b for b, i in ranks.items()}
         n = max(ranks.values(), default=0) + 1
         self.queue = RankQueue(n)
-        self.word_of, self.bit = [r // WORD for r in range(n)], [1 << r % WORD for r in range(n)]
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the rank file lacks the single bytes {missing}")
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        self.of_two = {(a, b): ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)}
+        self.of_two = array("i", [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self._known = chunks.Remembered(lambda piece: array("i", self.merge(piece.encode())).tobytes())
-        self._first = chunks.Remembered(self._encode, "", 20_000)
+        self._first = chunks.Remembered(self._first_piece, "", 20_000)
         self._later = chunks.Remembered(self._encode, " ")
 
     def merge(self, piece: bytes) -> list[int]:
@@ -88,25 +94,30 @@ class Codec:
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        queue, byte_id, bit, word_of = self.queue, self.byte_id, self.bit, self.word_of
-        buckets, low, top = queue.buckets, queue.low, 0
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        after.append(n)
-        ids = [byte_id[b] for b in piece]
-        pair = list(map(self.of_two.__getitem__, zip(piece, piece[1:])))
+        buckets, low, top, of_two = self.queue.buckets, self.queue.low, 0, self.of_two
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        after[n] = n
+        ids = list(map(self.byte_id.__getitem__, piece))
+        pair = [of_two[a << 8 | b] for a, b in zip(piece, piece[1:])]
         pair.append(-1)
         for i, rank in enumerate(pair):
             if rank >= 0:
-                buckets[rank].append(i)  # positions ascend, so the bucket stays a heap
-                low[word_of[rank]] |= bit[rank]
-                top |= 1 << word_of[rank]
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions ascend, so the bucket stays a heap
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
-            rank = word * WORD + (bits & -bits).bit_length() - 1
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
                 low[word] = bits = bits & (bits - 1)
                 if not bits:
                     top &= top - 1
@@ -119,21 +130,32 @@ class Codec:
             if k < n:
                 pair[i] = new = rank_of(piece[i : after[k]], -1)
                 if new >= 0:
-                    heappush(buckets[new], i)
-                    low[word_of[new]] |= bit[new]
-                    top |= 1 << word_of[new]
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        low[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
             else:
                 pair[i] = -1
             h = before[i]
             if h >= 0:
                 pair[h] = new = rank_of(piece[h:k], -1)
                 if new >= 0:
-                    heappush(buckets[new], h)
-                    low[word_of[new]] |= bit[new]
-                    top |= 1 << word_of[new]
+                    if new in buckets:
+                        heappush(buckets[new], h)
+                    else:
+                        buckets[new] = [h]
+                        low[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
         return [x for x in ids if x >= 0]
 
     def _encode(self, text: str) -> bytes:
+        if text[1:].isalpha() and self.letters_whole:
+            return self._known[text]
+        return b"".join(map(self._known.__getitem__, self.find(text)))
+
+    def _first_piece(self, text: str) -> bytes:
         return b"".join(map(self._known.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> bytes:
@@ -190,7 +212,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            made = [own.decode(x.values.to_pylist()) if x.is_valid else b"" for x in batch.column(batch.schema.get_field_index(ids))]
+            made = [own.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in batch.column(batch.schema.get_field_index(ids))]
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.binary())], [*names, out])
 
