@@ -65,6 +65,8 @@ class Ids:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, text: str) -> bytes:
+        if text[1:].isalpha() and text[0] == " ":  # one match of the pattern
+            return self.known[text]
         if any(x in text for x in self.added):
             return self._ids(text)
         return b"".join(map(self.known.__getitem__, self.find(text)))
