@@ -117,6 +117,7 @@ def best_fit(
 
     ``capacity``: tokens, documents and attention cost of a bin.  ``rule``: ``norm`` takes the bin
     with the smallest weighted residual, ``dot`` the one whose residual points most along the item.
+    An item beyond a capacity by itself gets a bin of its own.
     """
     caps = np.asarray(capacity, float)
     w = np.asarray(weights, float)
