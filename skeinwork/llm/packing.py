@@ -38,6 +38,9 @@ PLACED = PIECES + ", sequence_id long, offset long"
 #: Pieces that one task packs together.
 BLOCK = 16_384
 
+#: Pre-tokens that a worker remembers, in each of two generations; about 1 KB for five.
+REMEMBER = 400_000
+
 
 class Ids:
     """Token ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
@@ -46,7 +49,7 @@ class Ids:
     public byte-level pattern; other files, and pieces with added tokens, are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -57,9 +60,9 @@ class Ids:
         self.byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.known = chunks.Remembered(self._ids, most=400_000)
+        self.known = chunks.Remembered(self._ids, most=remember)
         self.first = chunks.Remembered(self._piece, "", 20_000)
-        self.later = chunks.Remembered(self._piece, " ", 250_000)
+        self.later = chunks.Remembered(self._piece, " ", remember * 5 // 8)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -81,16 +84,16 @@ class Ids:
 
 
 @functools.lru_cache(maxsize=2)
-def ids_by(path: str) -> Ids:
-    return Ids(path)
+def ids_by(path: str, remember: int = REMEMBER) -> Ids:
+    return Ids(path, remember)
 
 
-def pieces(docs: DataFrame, path: str, most: int = 2048, separator: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str, most: int = 2048, separator: int = 0, remember: int = REMEMBER) -> DataFrame:
     """One row per piece of at most ``most`` tokens of each document with its separator."""
     end = np.asarray([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_by(path)
+        ids = ids_by(path, remember)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -191,6 +194,6 @@ def pack(
     return done.unionByName(second.drop("filled")).unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 2048, separator: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, most: int = 2048, separator: int = 0, remember: int = REMEMBER) -> DataFrame:
     """Tokenize, cut and pack whole documents."""
-    return pack(checkpoint(pieces(docs, path, most, separator)), most)
+    return pack(checkpoint(pieces(docs, path, most, separator, remember)), most)
