@@ -93,4 +93,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op4_substrings": op4_substrings, "op5_lm": op5_lm, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, i, md5(string_agg(x, ' ') OVER s) AS h, count(*) OVER s AS n FROM t
+      WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+e AS (SELECT doc_id, i, h FROM k WHERE n = 50),
+f AS (SELECT doc_id, i FROM e JOIN (SELECT h, min(doc_id) AS first FROM e GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h) WHERE doc_id > first),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range(50) r(j)),
+m AS (SELECT t.doc_id, count(c.i) AS n_removed, coalesce(string_agg(CASE WHEN c.i IS NULL THEN x END, ' ' ORDER BY t.i), '') AS kept
+      FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i GROUP BY t.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id)""",
+    "op8_chat": r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN t END, '' ORDER BY turn, role, t), '')) AS loss_sha256,
+  CAST(3 + sum(17 + length(role) + length(t) + length(role || t) - length(replace(role || t, '\', ''))
+    + len(regexp_extract_all(role, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id""",
+}
