@@ -47,7 +47,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(quality.signals(table(spark, sf_dir, "documents"), "doc_id", "lang"), "signals")
     limits = quality.cutoffs(measured, table(spark, sf_dir, "labels"))
     return quality.judge(measured, limits).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules")
     )
 
 
@@ -105,6 +105,30 @@ c AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range(50) r(j)),
 m AS (SELECT t.doc_id, count(c.i) AS n_removed, coalesce(string_agg(CASE WHEN c.i IS NULL THEN x END, ' ' ORDER BY t.i), '') AS kept
       FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i GROUP BY t.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m USING (doc_id)""",
+    "op6_quality": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER s || ' ' || lead(x, 2) OVER s AS gram FROM t WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM g WHERE gram IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r, range(3) v(j) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]+') GROUP BY doc_id),
+s AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
+  n_repeat_words / greatest(n_words, 1) AS repeat_share, word_chars / greatest(n_words, 1) AS word_length FROM s),
+h AS (SELECT lang, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'word_length']) AS rule, unnest([symbol_share, dup_line_share, repeat_share, word_length]) AS value FROM q JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+k AS (SELECT lang, h.rule, step, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k FROM h JOIN (VALUES ('symbol_share', 0, 0.5), ('symbol_share', 1, 0.3), ('symbol_share', 2, 0.2), ('symbol_share', 3, 0.1), ('symbol_share', 4, 0.05), ('symbol_share', 5, 0.03), ('symbol_share', 6, 0.02), ('symbol_share', 7, 0.01), ('dup_line_share', 0, 0.8), ('dup_line_share', 1, 0.6), ('dup_line_share', 2, 0.5), ('dup_line_share', 3, 0.4), ('dup_line_share', 4, 0.35), ('dup_line_share', 5, 0.3), ('dup_line_share', 6, 0.25), ('dup_line_share', 7, 0.2), ('repeat_share', 0, 0.5), ('repeat_share', 1, 0.45), ('repeat_share', 2, 0.4), ('repeat_share', 3, 0.35), ('repeat_share', 4, 0.3), ('repeat_share', 5, 0.25), ('repeat_share', 6, 0.2), ('repeat_share', 7, 0.15), ('word_length', 0, 12.0), ('word_length', 1, 10.0), ('word_length', 2, 9.0), ('word_length', 3, 8.5), ('word_length', 4, 8.0), ('word_length', 5, 7.5), ('word_length', 6, 7.0), ('word_length', 7, 6.5)) v(rule, step, cutoff) ON v.rule = h.rule GROUP BY ALL),
+p AS (SELECT *, count(*) OVER (PARTITION BY step) AS tests, CASE WHEN k >= n * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+  lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(0.005) + (n - j) * ln(0.995)))) END AS p FROM k),
+o AS (SELECT *, min(CAST(p <= 0.05 / tests AS INT)) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM p),
+m AS (SELECT lang, min(cutoff) FILTER (WHERE rule = 'symbol_share') AS c_symbol_share, min(cutoff) FILTER (WHERE rule = 'dup_line_share') AS c_dup_line_share, min(cutoff) FILTER (WHERE rule = 'repeat_share') AS c_repeat_share, min(cutoff) FILTER (WHERE rule = 'word_length') AS c_word_length FROM o WHERE ok = 1 GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(symbol_share > c_symbol_share, false) OR coalesce(dup_line_share > c_dup_line_share, false) OR coalesce(repeat_share > c_repeat_share, false) OR coalesce(word_length > c_word_length, false)) AS kept,
+  concat_ws(',', CASE WHEN symbol_share > c_symbol_share THEN 'symbol_share' END, CASE WHEN dup_line_share > c_dup_line_share THEN 'dup_line_share' END, CASE WHEN repeat_share > c_repeat_share THEN 'repeat_share' END, CASE WHEN word_length > c_word_length THEN 'word_length' END) AS failed_rules FROM q LEFT JOIN m USING (lang)""",
+    "op7_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT page_id, payload_bytes, x, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(x, i, 1))]), '') AS bits FROM s)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * j + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * j + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * j + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * j + 4, 1) AS INT) + CAST(substr(bits, 5 * j + 5, 1) AS INT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = max(page_id) OVER (PARTITION BY x) THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> max(page_id) OVER (PARTITION BY x) THEN max(page_id) OVER (PARTITION BY x) END AS refers_to FROM b""",
     "op8_chat": r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, t))
