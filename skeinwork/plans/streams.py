@@ -10,6 +10,7 @@ from skeinwork.operators import matching
 from skeinwork.plans.base import Catalogue
 from skeinwork.runtime import shared_dir
 from skeinwork.streaming import events as ev
+from skeinwork.streaming import folds
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -63,3 +64,21 @@ def stream_dedup_bucket(spark, sf_dir):
 
 catalogue.queries["stream_dedup_bucket"] = stream_dedup_bucket
 catalogue.sql["stream_dedup_bucket"] = catalogue.sql["dedup_bucket"]
+
+
+@query()
+def circuit_breaker(t):
+    """Events of a user passed, opening the circuit, or skipped while it is open."""
+    return folds.fold(t("events"), "user_id", "ts", "value", folds.breaker(600, lambda x: x > 90), "event_id").select("event_id", "said")
+
+
+@query()
+def collect_until(t):
+    """Collections of a user's events: closed by silence, by total time, or at five events."""
+    return folds.fold(t("events"), "user_id", "ts", "value", folds.collector(7200, 86400, lambda held: len(held) == 5), "event_id").select("event_id", "said")
+
+
+@query("""SELECT event_id, user_id FROM events WHERE event_id > 500 OR ts > TIMESTAMP '2024-01-15 00:00:00'""")
+def lower_boundary(t):
+    """Events past a known id or a known time."""
+    return t("events").filter((F.col("event_id") > 500) | (F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))).select("event_id", "user_id")
