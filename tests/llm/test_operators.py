@@ -330,3 +330,31 @@ def test_pipeline_stages(spark, tmp_path):
         if k == 2:
             assert {r.doc_id for r in docs.collect()} & {0, 1} == {0}
     assert docs.count() > 0
+
+
+def test_near_copies_of_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from skeinwork.llm import resemble
+
+    rng = random.Random(3)
+    rows = []
+    for base in range(60):  # chains: each text is like the one before it, with fewer and fewer edits
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for step in range(4):
+            rows.append((4 * base + step, " ".join(words)))
+            for at in rng.sample(range(0, 200, 6), base % 8 + 1):
+                words[at] = f"x{rng.randrange(10**6)}"
+    rows += [(900, "a b"), (901, "A  b"), (902, "a c"), (903, None), (904, " "), (905, "")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := WORD.findall((t or "").translate(LOWER))) else set() for _, t in rows]
+    like = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    label = list(range(len(rows)))
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if like(sets[i], sets[j])) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    want = sorted(rows[i][0] for i in range(len(rows)) if label[i] == i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    assert 60 < len(want) < 240 and resemble.firsts(docs.limit(0)).count() == 0
+    assert len(resemble.linked([np.arange(k, k + 90, dtype=np.uint64) for k in range(0, 200, 10)])) == 19  # 80 of 100 shared by neighbours only
