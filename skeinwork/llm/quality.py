@@ -9,8 +9,8 @@ rules (Bonferroni).  So with confidence ``1 - doubt`` no stratum loses more than
 good documents to the rules.  A stratum with too few labels gets no cutoff and keeps everything.
 
 Edge cases: a null text is an empty one (no words, base_failed); a null language is a stratum of
-its own; languages past the ``STRATA`` most labelled ones share one stratum; null labels and null
-doc_ids prove nothing; a document labelled several times counts once per label row; repeated
+its own, and so is any other, however many there are (the rows of cutoffs are few, since each takes
+over a thousand labels to prove); null labels and null doc_ids prove nothing; a document labelled several times counts once per label row; repeated
 documents are judged each; extra columns of either table are ignored; with no labels, only the
 base rules reject.
 """
@@ -23,10 +23,6 @@ from pyspark.sql import functions as F
 from skeinwork.llm.words import words
 from skeinwork.runtime import checkpoint
 
-#: Strata at most; so many rows of cutoffs are joined to all documents.
-STRATA = 64
-REST = "\x00rest"
-
 #: Ladders of cutoffs from lenient to strict; a document whose signal exceeds the cutoff is rejected.
 LADDERS = {
     "symbol_share": (0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01),
@@ -104,45 +100,47 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(terms)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
-    """Rows (stratum, one column of cutoff per rule or null), ``STRATA`` + 1 at most.
+def _held(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, one column per rule: how many steps of its ladder fail) of documents labelled good that pass the base rules.
 
-    ``measured``: signals with doc_id and lang; ``labels``: doc_id and quality (1 is good).
+    A document that fails a ladder's lenient step fails all later ones, so it fails the last steps.
     """
     good = labels.filter(F.col("quality") == 1).select("doc_id")
-    held = measured.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), *(x.alias(r) for r, x in rules().items()), base_failed().alias("failed"))
-    held = checkpoint(held.join(good, "doc_id").filter(~F.col("failed")).select("lang", *LADDERS))
-    most = held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(STRATA).select("lang", F.col("lang").alias("stratum"))
-    named = held.join(F.broadcast(most), "lang", "left").withColumn("stratum", F.coalesce("stratum", F.lit(REST)))
-    each = named.select(
-        "stratum",
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(rule).alias("rule"), sum(((F.col(rule) > c).cast("int") for c in steps), F.lit(0)).alias("steps_failed"))
-                    for rule, steps in LADDERS.items()
-                )
-            )
-        ),
-    )
+    held = measured.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *(x.alias(r) for r, x in rules().items()), base_failed().alias("failed"))
+    failed = (sum(((F.col(rule) > c).cast("int") for c in steps), F.lit(0)).alias(rule) for rule, steps in LADDERS.items())
+    return checkpoint(held.join(good, "doc_id").filter(~F.col("failed")).select("stratum", *failed))
+
+
+def _proven(each: DataFrame, risk: float, doubt: float) -> DataFrame:
+    """(stratum, rule, step) up to the strictest proven ``step`` of each ladder, of rows (stratum, rule, steps_failed)."""
+    n_steps = len(next(iter(LADDERS.values())))
     counts = each.groupBy("stratum", "rule", "steps_failed").count()
-    n = F.sum("count").over(Window.partitionBy("stratum", "rule"))
-    counts = counts.withColumn("n", n)
-    ladder = F.create_map(*(x for rule, steps in LADDERS.items() for x in (F.lit(rule), F.array(*map(F.lit, steps)))))
-    # the document fails a ladder's first (lenient) step only if it fails all later ones, so it fails the last ``steps_failed`` steps
+    counts = counts.withColumn("n", F.sum("count").over(Window.partitionBy("stratum", "rule")))
     steps = (
-        counts.select("stratum", "rule", "n", "steps_failed", "count", F.posexplode(ladder[F.col("rule")]).alias("step", "cutoff"))
-        .groupBy("stratum", "rule", "n", "step", "cutoff")
-        .agg(F.coalesce(F.sum(F.when(F.col("steps_failed") >= F.size(ladder[F.col("rule")]) - F.col("step"), F.col("count"))), F.lit(0)).alias("k"))
+        counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_steps - 1))).alias("step"))
+        .groupBy("stratum", "rule", "n", "step")
+        .agg(F.coalesce(F.sum(F.when(F.col("steps_failed") >= n_steps - F.col("step"), F.col("count"))), F.lit(0)).alias("k"))
     )
     tests = F.count(F.lit(1)).over(Window.partitionBy("step"))  # strata times rules
-    proven = steps.withColumn("tests", tests).withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk / len(LADDERS)))
+    proven = steps.withColumn("tests", tests).withColumn("p", binomial_tail(F.col("k"), F.col("n"), risk))
     proven = proven.withColumn("ok", F.min((F.col("p") <= F.lit(doubt) / F.col("tests")).cast("int")).over(Window.partitionBy("stratum", "rule").orderBy("step")))
-    return proven.filter("ok = 1").groupBy("stratum").pivot("rule", list(LADDERS)).agg(F.min("cutoff"))
+    return proven.filter("ok = 1").select("stratum", "rule", "step")
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
+    """Rows (stratum, one column of cutoff per rule or null) of the strata with a proven cutoff.
+
+    ``measured``: signals with doc_id and lang; ``labels``: doc_id and quality (1 is good).
+    """
+    rows = F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("steps_failed")) for rule in LADDERS))
+    proven = _proven(_held(measured, labels).select("stratum", F.inline(rows)), risk / len(LADDERS), doubt)
+    ladder = F.create_map(*(x for rule, steps in LADDERS.items() for x in (F.lit(rule), F.array(*map(F.lit, steps)))))
+    cutoff = F.get(ladder[F.col("rule")], F.col("step"))
+    return proven.withColumn("cutoff", cutoff).groupBy("stratum").pivot("rule", list(LADDERS)).agg(F.min("cutoff"))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Add ``base_failed``, ``failed_rules`` and ``kept``; ``limits`` has ``STRATA`` + 1 rows at most."""
+    """Add ``base_failed``, ``failed_rules`` and ``kept``; ``limits``: the rows of cutoffs, a few."""
     limits = F.broadcast(limits.select("stratum", *(F.col(r).alias(f"_{r}") for r in LADDERS)))
     known = measured.withColumn("stratum", F.coalesce("lang", F.lit("")))
     joined = known.join(limits, "stratum", "left")

@@ -358,3 +358,16 @@ def test_near_copies_of_the_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
     assert 60 < len(want) < 240 and resemble.firsts(docs.limit(0)).count() == 0
     assert len(resemble.linked([np.arange(k, k + 90, dtype=np.uint64) for k in range(0, 200, 10)])) == 19  # 80 of 100 shared by neighbours only
+
+
+def test_quality_of_many_languages(spark):
+    """Every language has its own cutoffs, as in the query's SQL, past the 64 most labelled ones too."""
+    from skeinwork.llm import quality
+
+    measured = spark.range(70 * 2000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.format_string("%02d", F.col("id") % 70)).alias("lang"), F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"),
+        F.when(F.col("id") >= 70 * 1999, 400).otherwise(0).cast("long").alias("n_symbols"), F.lit(10).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"),
+    )
+    labels = measured.filter("n_symbols = 0").select("doc_id", F.lit(1).alias("quality"))
+    judged = quality.judge(measured, quality.cutoffs(measured, labels)).filter("n_symbols > 0").collect()
+    assert len(judged) == 70 and all(not r.kept and r.failed_rules == ["symbol_share"] for r in judged)
