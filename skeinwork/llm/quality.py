@@ -7,10 +7,12 @@ must refute a false-rejection rate above the rule's share of ``risk``; the first
 not ends the ladder (fixed-sequence testing), and the confidence is split over all strata and
 rules (Bonferroni).  So with confidence ``1 - doubt`` no stratum loses more than ``risk`` of its
 good documents to the rules.  A stratum with too few labels gets no cutoff and keeps everything.
+``joint_cutoffs`` proves all ladders together, which takes fewer labels; the pipeline uses it, while
+the query keeps the split that its SQL states.
 
 Edge cases: a null text is an empty one (no words, base_failed); a null language is a stratum of
 its own, and so is any other, however many there are (the rows of cutoffs are few, since each takes
-over a thousand labels to prove); null labels and null doc_ids prove nothing; a document labelled several times counts once per label row; repeated
+hundreds of labels to prove); null labels and null doc_ids prove nothing; a document labelled several times counts once per label row; repeated
 documents are judged each; extra columns of either table are ignored; with no labels, only the
 base rules reject.
 """
@@ -139,6 +141,17 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: f
     return proven.withColumn("cutoff", cutoff).groupBy("stratum").pivot("rule", list(LADDERS)).agg(F.min("cutoff"))
 
 
+def joint_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float = 0.05) -> DataFrame:
+    """As ``cutoffs``, but a stratum's ladders are climbed together, as one rule that rejects what any of them does.
+
+    The tail of the joint rejections is tested at the whole ``risk``, and ``doubt`` is split over strata only, so the
+    guarantee is the same, and with four strata 217 good labels are enough where each rule by itself takes 1151.
+    """
+    held = _held(measured, labels).select("stratum", F.lit("all").alias("rule"), F.greatest(*LADDERS).alias("steps_failed"))
+    last = _proven(held, risk, doubt).groupBy("stratum").agg(F.max("step").alias("step"))
+    return last.select("stratum", *(F.get(F.array(*map(F.lit, steps)), F.col("step")).alias(rule) for rule, steps in LADDERS.items()))
+
+
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Add ``base_failed``, ``failed_rules`` and ``kept``; ``limits``: the rows of cutoffs, a few."""
     limits = F.broadcast(limits.select("stratum", *(F.col(r).alias(f"_{r}") for r in LADDERS)))

@@ -371,3 +371,13 @@ def test_quality_of_many_languages(spark):
     labels = measured.filter("n_symbols = 0").select("doc_id", F.lit(1).alias("quality"))
     judged = quality.judge(measured, quality.cutoffs(measured, labels)).filter("n_symbols > 0").collect()
     assert len(judged) == 70 and all(not r.kept and r.failed_rules == ["symbol_share"] for r in judged)
+
+
+def test_pipeline_rules_serve_small_languages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.randrange(10**5):05}" for _ in range(60)) + (" ########" * 20 if i >= 1200 else ""), ("de", "en", "es", "fr")[i % 4]) for i in range(1240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.filter("doc_id < 1200").select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(r.doc_id for r in corpus_pipeline.rate_quality(spark, docs, str(tmp_path)).collect()) == list(range(1200))
