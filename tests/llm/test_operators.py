@@ -381,3 +381,14 @@ def test_pipeline_rules_serve_small_languages(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     docs.filter("doc_id < 1200").select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
     assert sorted(r.doc_id for r in corpus_pipeline.rate_quality(spark, docs, str(tmp_path)).collect()) == list(range(1200))
+
+
+def test_one_row_of_each_group_of_near_copies(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(7, a, 1), (7, a, 1), (7, a, 2), (9, a, 1), (7, b, 1), (3, b, 1), (7, c, 1), (None, d, 1), (None, d, 1), (8, d, 1), (None, e, 1), (None, e, 1), (None, e, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert by_id((r.doc_id, r.text) for r in got.collect()) == by_id([(7, a), (3, b), (7, c), (8, d), (None, e)])
