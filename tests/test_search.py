@@ -23,3 +23,16 @@ def test_ranking(spark, query, tracks, best, kept):
     assert {r.track_id for r in search.keep_full(scored).collect()} == kept
     if best is not None:
         assert search.rank(scored).filter("place = 1").first().track_id == best
+
+
+def test_every_hundredth_part_asks(spark, tmp_path):
+    from skeinwork.plans import registry
+
+    rows = [(k, f"Brand#{10 + k % 7}", f"{('red', 'blue', 'cold')[k % 3]} {('rod', 'bolt')[k % 2]}") for k in range(0, 620, 10)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    same = lambda i, j: rows[i // 10][1:] == rows[j // 10][1:]  # noqa: E731  all words of a query are those of its brand and name
+    want = {(q, t) for q in range(0, 620, 100) for t in range(0, 620, 10) if same(q, t)}
+    got = {(r.query_id, r.track_id) for r in registry.QUERIES["full_coverage_filter"](spark, str(tmp_path)).collect()}
+    assert got == want
+    ranked = registry.QUERIES["query_score_rank"](spark, str(tmp_path)).filter("place = 1").collect()
+    assert {(r.query_id, r.track_id) for r in ranked} == {(q, min(t for i, t in want if i == q)) for q in range(0, 620, 100)}
