@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime
 import math
 
+#: The tables that tests read.
+SF = "/root/testdata/sf0.001"
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

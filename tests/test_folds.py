@@ -1,6 +1,6 @@
 """Keyed folds: step by step, and batch against stream."""
 
-from conftest import SF
+from compare import SF
 
 from skeinwork.streaming import events as ev
 from skeinwork.streaming import folds

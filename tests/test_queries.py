@@ -2,7 +2,7 @@
 
 import compare
 import pytest
-from conftest import SF
+from compare import SF
 
 from skeinwork.plans import registry
 
