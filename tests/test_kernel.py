@@ -70,7 +70,7 @@ def test_chunking():
     assert chunks("aaaa\nbb\ncccc", 8) == ["aaaa\nbb", "cccc"]
     assert chunks("x" * 20, 8) == ["x" * 8, "x" * 8, "x" * 4]
     assert chunks("", 8) == [] == chunks(" \n ", 8)
-    assert chunks("aaaa   \n   bb  \n\n cccc ", 12) == ["aaaa   \n   bb", "cccc"]
+    assert chunks("aaaa   \n   bb  \n\n cccc ", 12) == ["aaaa", "bb  \n\n cccc"]
     assert chunks("a\n" + "b" * 12, 8) == ["a\nbbbbbb", "bbbbbb"]
 
 
