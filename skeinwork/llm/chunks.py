@@ -2,20 +2,23 @@
 
 A blank between two characters that are not white space starts a match of the public
 pattern (``' ?\\p{L}+'`` and its siblings), so the pieces between such blanks can be encoded
-one by one and remembered.
+apart, each distinct one once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ``re`` counts more characters as white space than the pattern's engines do: a safe superset.
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Pieces longer than this are encoded anew each time.
-LONGEST_REMEMBERED = 64
+#: The same in RE2's words, with every character that Python counts as white space.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def split(text: str) -> list[str]:
@@ -23,25 +26,17 @@ def split(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
-class Remembered(dict):
-    """piece -> encoding, filled on a miss, in two generations of at most ``most`` entries.
-
-    A full generation becomes the old one; what is asked for again moves to the new.  Only memory
-    is bounded by that: a forgotten piece is encoded again.
-    """
-
-    def __init__(self, encode: Callable[[str], bytes], before: str = "", most: int = 200_000):
-        super().__init__()
-        self.encode, self.before, self.most = encode, before, most
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        made = self.old.get(piece)
-        if made is None:
-            made = self.encode(self.before + piece)
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = made
-        return made
+def split_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all ``texts`` (large_string without nulls), one after the other, and how many each text has."""
+    odd = np.flatnonzero(pc.match_substring_regex(texts, f"(?: {_SPACE})|(?:{_SPACE} )").to_numpy(zero_copy_only=False))
+    made = pc.split_pattern(texts, " ")
+    sizes = pc.list_value_length(made).to_numpy().astype(np.int64)
+    pieces = made.flatten()
+    if not len(odd):
+        return pieces, sizes
+    stops, at, parts = np.cumsum(sizes), 0, []
+    for i in odd.tolist():
+        own = pa.array(split(texts[i].as_py()), pa.large_string())
+        parts += [pieces.slice(at, stops[i] - sizes[i] - at), own]
+        at, sizes[i] = int(stops[i]), len(own)
+    return pa.concat_arrays([*parts, pieces.slice(at)]), sizes

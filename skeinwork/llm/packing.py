@@ -18,96 +18,87 @@ any length is tokenized whole.
 from __future__ import annotations
 
 import functools
-import json
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm import chunks
+from skeinwork.llm import bpe
 from skeinwork.runtime import checkpoint
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = PIECES + ", sequence_id long, offset long"
 
 #: Pieces that one task packs together.
 BLOCK = 16_384
 
-#: Pre-tokens that a worker remembers, in each of two generations; about 1 KB for five.
-REMEMBER = 400_000
-
 
 class Ids:
-    """Token ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts by a tokenizer file.
 
-    Pieces between blanks are remembered, and so are their pre-tokens where the file cuts by the
-    public byte-level pattern; other files, and pieces with added tokens, are encoded as they are.
+    Byte-level BPE files are encoded by the rank queue over their merges; texts with an added token
+    in them, and files of any other kind, by the tokenizer itself.
     """
 
-    def __init__(self, path: str, remember: int):
+    def __init__(self, path: str):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path) as lines:
-            cut = json.load(lines).get("pre_tokenizer") or {}
-        self.byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.known = chunks.Remembered(self._ids, most=remember)
-        self.first = chunks.Remembered(self._piece, "", 20_000)
-        self.later = chunks.Remembered(self._piece, " ", remember * 5 // 8)
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, text: str) -> bytes:
-        if text[1:].isalpha() and text[0] == " ":  # one match of the pattern
-            return self.known[text]
-        if any(x in text for x in self.added):
-            return self._ids(text)
-        return b"".join(map(self.known.__getitem__, self.find(text)))
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.byte_level:
-            return self._ids(text)
-        first, *rest = chunks.split(text)
-        return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, rest))
+        self.codec = bpe.merges_codec(path, public_tokenizers.PATTERN)
+        self.added = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())
+
+    def _plainly(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.codec is None:
+            return self._plainly(texts.to_pylist())
+        ids, ends = self.codec.encode_all(texts)
+        made = np.split(ids.astype(np.uint32), ends[:-1]) if len(texts) else []
+        if self.added:
+            where = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).tolist()
+            for i, x in zip(where, self._plainly(texts.take(pa.array(where, pa.int64())).to_pylist())):
+                made[i] = x
+        return made
 
 
 @functools.lru_cache(maxsize=2)
-def ids_by(path: str, remember: int = REMEMBER) -> Ids:
-    return Ids(path, remember)
+def ids_by(path: str) -> Ids:
+    """One encoder per worker process and file."""
+    return Ids(path)
 
 
-def pieces(docs: DataFrame, path: str, most: int = 2048, separator: int = 0, remember: int = REMEMBER) -> DataFrame:
+def pieces(docs: DataFrame, path: str, most: int = 2048, separator: int = 0) -> DataFrame:
     """One row per piece of at most ``most`` tokens of each document with its separator."""
     end = np.asarray([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_by(path, remember)
+        ids = ids_by(path)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                blob = ids.of(text.as_py()) + end
-                total, at, k = len(blob) // 4, 0, 0
-                upto = total % most or most
-                while at < total:
-                    rows.append((doc, k, at, upto - at, zlib.crc32(blob[4 * at : 4 * upto])))
-                    at, upto, k = upto, upto + most, k + 1
-            columns = zip(*rows) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+            at = 0
+            for some in bpe.stretches(batch.column(1)):
+                rows: list[tuple] = []
+                for doc, own in zip(batch.column(0).slice(at, len(some)).to_pylist(), ids.of(some)):
+                    blob = own.astype("<u4").tobytes() + end
+                    total, start, k = len(blob) // 4, 0, 0
+                    upto = total % most or most
+                    while start < total:
+                        rows.append((doc, k, start, upto - start, zlib.crc32(blob[4 * start : 4 * upto])))
+                        start, upto, k = upto, upto + most, k + 1
+                at += len(some)
+                columns = zip(*rows)
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(
@@ -165,7 +156,8 @@ def _round(df: DataFrame, blocks: int, most: int, capacity: tuple, weights: tupl
 
     # row numbers, not keys, are hashed: equal rows must not meet in one block; ``df`` is checkpointed, so they hold
     dealt = df.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(fill, PLACED + ", filled long")
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("block").applyInPandas(fill, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long")
 
 
 def pack(
@@ -194,6 +186,6 @@ def pack(
     return done.unionByName(second.drop("filled")).unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = 2048, separator: int = 0, remember: int = REMEMBER) -> DataFrame:
-    """Tokenize, cut and pack whole documents."""
-    return pack(checkpoint(pieces(docs, path, most, separator, remember)), most)
+def pack_documents(docs: DataFrame, path: str, most: int = 2048, separator: int = 0, documents: int | None = None, attention: float | None = None, rule: str = "norm") -> DataFrame:
+    """Tokenize, cut and pack whole documents under all three capacities."""
+    return pack(checkpoint(pieces(docs, path, most, separator)), most, documents, attention, rule=rule)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from fixtures_llm import awkward, awkward_rows, empty
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def test_bpe(spark):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     own = bpe.codec(path, public_tokenizers.PATTERN)
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.whole_of, special_tokens={})
     want = []
     for i, t, _ in awkward_rows():
         ids = enc.encode_ordinary(t or "")
@@ -40,19 +41,41 @@ def test_bpe(spark):
     assert by_id(map(tuple, bpe.digest(awkward(spark), path, public_tokenizers.PATTERN).collect())) == by_id(want)
     assert bpe.digest(empty(spark), path, public_tokenizers.PATTERN).count() == 0
     rng = random.Random(1)
-    for _ in range(3000):
-        s = "".join(rng.choice(" \t\n\x1c\x85\xa0'sabéßπ漢😀12.,!tl\x00") for _ in range(rng.randint(0, 24)))
-        assert np.frombuffer(own.encode(s), np.int32).tolist() == enc.encode_ordinary(s)
+    odd = ["".join(rng.choice(" \t\n\x1c\x85\xa0'sabéßπ漢😀12.,!tl\x00") for _ in range(rng.randint(0, 24))) for _ in range(3000)]
+    odd += ["".join(rng.choice("abz") for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["", "z" * 95, "  x", "<|endoftext|>a"]
+    ids, ends = own.encode_all(pa.array([*odd, None]))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [*(enc.encode_ordinary(x) for x in odd), []]
+    for text in odd[:50]:
+        assert own.decode(np.frombuffer(own.encode(text), np.int32)) == text.encode()
 
 
-def test_rank_queue():
-    from skeinwork.llm.bpe import RankQueue
+def test_long_pre_tokens():
+    import tiktoken
+
+    from skeinwork.llm import bpe
+
+    own = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.whole_of, special_tokens={})
+    rng = random.Random(8)
+    for text in ("".join(rng.choice("abcez") for _ in range(100_000)), "ab" * 20_000, "z" * 30_001):
+        assert own.merge(text.encode()) == enc.encode_ordinary(text)
+
 
-    q, rng = RankQueue(50_000), random.Random(2)
-    pairs = [(rng.randrange(50_000), rng.randrange(100)) for _ in range(500)]
-    for r, at in pairs:
-        q.push(r, at)
-    assert [q.pop() for _ in pairs] == sorted(pairs) and q.top == 0
+def test_merges_of_a_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    from skeinwork.llm import bpe, packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(9)
+    texts = ["".join(rng.choice(" \t\n\x85\xa0'sabéßπ漢😀12.,!tl") for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["a<|endoftext|> b", "z" * 500, None]
+    want = [tok.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert bpe.merges_codec(path, public_tokenizers.PATTERN) is not None
+    assert [x.tolist() for x in packing.ids_by(path).of(pa.array(texts))] == want
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert bpe.merges_codec(other, public_tokenizers.PATTERN) is None
+    plain = Tokenizer.from_file(other)
+    assert [x.tolist() for x in packing.ids_by(other).of(pa.array(["Some words", None]))] == [plain.encode("Some words", add_special_tokens=False).ids, []]
 
 
 def test_packing(spark):
@@ -78,6 +101,16 @@ def test_packing(spark):
         x.sort()
         assert all(a[0] + a[1] == b[0] for a, b in zip(x, x[1:])) and x[0][0] == 0 and sum(n for _, n in x) <= 256
     assert len(bins) <= math.ceil(sum(r.length for r in got) / 256) + 1
+    for rule in ("norm", "dot"):  # binding document and attention capacities
+        tight, held = {}, Counter()
+        for r in packing.pack_documents(awkward(spark), path, 256, documents=2, attention=40_000.0, rule=rule).collect():
+            tight.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            held[(r.doc_id, r.piece, r.start, r.length, r.ids_crc32)] += 1
+        assert held == want
+        for x in tight.values():
+            x.sort()
+            assert all(a[0] + a[1] == b[0] for a, b in zip(x, x[1:])) and x[0][0] == 0 and sum(n for _, n in x) <= 256
+            assert len(x) <= 2 and (len(x) == 1 or sum(n * n for _, n in x) <= 40_000)
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
