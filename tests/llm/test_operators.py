@@ -199,9 +199,113 @@ def test_lm(spark):
 def test_lm_bits_are_a_distribution():
     from skeinwork.llm import lm
 
+    rng = np.random.default_rng(3)
     mixer, tables = lm.Mixer(), lm.Tables()
+    tables.stretch[:], tables.level[:] = rng.integers(-9000, 9000, lm.SLOTS), rng.integers(0, 8, lm.SLOTS)
+    mixer.weights += rng.normal(0, 0.2, mixer.weights.shape)
     code = np.arange(256, dtype=np.uint64) | np.uint64(0x206100)
-    assert abs((2.0 ** -mixer.bits(tables, code)).sum() - 1) < 1e-9
+    assert abs((2.0 ** -mixer.bits(tables, code)).sum() - 1) < 1e-6
+    # with a likely word before them, the first bytes of all words still share one chance
+    agreements = lm.Agreements()
+    agreements.chance = rng.uniform(0.05, 0.95, agreements.chance.shape)
+    words = (np.arange(256, dtype=np.uint64) << np.uint64(56)) | np.uint64(1 << 55)
+    words = words[words >> np.uint64(56) != 0]
+    likely = np.full(len(words), 0x6162630000000000, np.uint64)
+    level = np.full(len(words), 7)
+    kinds = np.zeros(len(words), np.uint8)
+    one = np.zeros(len(words))
+    for part, chance, cell, used, came in lm._steps(mixer, tables, words, kinds, likely, level):
+        p = agreements.chance[7, cell]
+        bits = np.where(used, np.where(came, p, 1 - p), chance)[:, :8]
+        one[part] = bits.astype(float).prod(axis=1)
+    zero = one[0]  # byte 0 never comes; its chance is what is left
+    assert 0 < zero < 1 and one.sum() < 1 + 1e-6
+
+
+def _text_by_hand(lm, mixer, tables, agreements, seen, text):
+    """Bits of a text, one at a time, with nothing but the tables and the counts of followers."""
+    words = lm.tokens(text)
+    total, high = math.log2(lm.KINDS), lm.kind(words)
+    for i, word in enumerate(words or [b""]):
+        coded = word + (b"\n" if i == max(len(words), 1) - 1 else b" ")
+        likely, level = None, None
+        if i >= 2 and (words[i - 2], words[i - 1]) in seen:
+            own = seen[(words[i - 2], words[i - 1])]
+            likely, most = min(own.items(), key=lambda x: (-x[1], x[0]))
+            whole = sum(own.values())
+            level = min(5, int(math.log2(most + 0.5))) * 4 + (4 * most > whole) + (4 * most > 3 * whole) + (most == whole)
+        past = b" " * lm.REACH if i == 0 else b" "
+        agrees = likely is not None
+        for at, byte in enumerate(coded):
+            run = (past + coded[:at])[-lm.REACH :]
+            blank = run.rfind(b" ")
+            run = run[blank:] if blank >= 0 else run
+            code = int.from_bytes(run + bytes([byte]), "big") | high << 56
+            chances = mixer.chances(tables, np.array([code], np.uint64))[0]
+            for j in range(8):
+                p = float(chances[j])
+                if agrees and at < 8:
+                    bit = byte >> (7 - j) & 1
+                    came = (likely[at] >> (7 - j) & 1) == bit
+                    st = math.log(p / (1 - p)) * (1 if came else -1)
+                    q = agreements.chance[level, min(lm.CELLS - 1, max(0, int(st + 12)))]
+                    p, agrees = (q, True) if came else (1 - q, False)
+                total -= math.log2(p)
+    return total
+
+
+def test_lm_scores_by_hand(spark):
+    from skeinwork.llm import lm
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    rows += [(i + 200, rows[i][1]) for i in range(40)] + [(500, None), (501, " "), (502, rows[3][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held, late = lm.fold(5) == 1, lm.fold(5) == 0
+    known = docs.select("text", held.alias("held_out"), late.alias("late"), F.col("doc_id").alias("row"))
+    hot, total = lm.hot_contexts(known)
+    mixer, tables, agreements = lm.train(known, hot, 4)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    counts, seen = Counter(), {}
+    for i, t in rows:
+        words = lm.tokens(t)
+        if fold(i) == 1:
+            continue
+        for k in range(2, len(words)):
+            coded = words[k] + (b"\n" if k == len(words) - 1 else b" ")
+            seen.setdefault((words[k - 2], words[k - 1]), Counter())[coded[:8].ljust(8, b"\0")] += 1
+        for k, word in enumerate(words or [b""]):
+            coded = word + (b"\n" if k == max(len(words), 1) - 1 else b" ")
+            for at in range(len(coded)):
+                run = (b" " + coded[:at])[-2:]
+                run = run[run.rfind(b" ") :] if b" " in run else run
+                counts[(lm.kind(words), run, coded[at] >> 7)] += 1
+    same = []
+    for high, run, _ in list(counts)[:400]:  # the first bit after two bytes; some slots are shared, as in any hash table
+        code = np.array([int.from_bytes(run + b"\0", "big") | high << 56], np.uint64)
+        if run.startswith(b" ") and len(run) == 1:
+            continue
+        at = lm.slots(code, 1, np.array([1]))
+        stretch, level = lm.told(np.array([counts[(high, run, 0)]]), np.array([counts[(high, run, 1)]]))
+        same.append(abs(int(tables.stretch[at][0]) - int(stretch[0])) <= 1 and tables.level[at][0] == level[0])
+    assert sum(same) > 0.95 * len(same) > 50
+    got = {(r.doc_id, r.n_tokens): r for r in lm.score_documents(docs, held, late).collect()}
+    for i, t in rows:
+        r = got[(i, len(lm.tokens(t)) + 1)]
+        want = _text_by_hand(lm, mixer, tables, agreements, seen, t)
+        assert abs(r.score + want * math.log10(2)) < 1e-2 + 1e-4 * want, (i, t)
+        assert abs(r.bits_per_byte - want / (len(b" ".join(lm.tokens(t))) + 1)) < 1e-2
+    assert got[(500, 1)].score == got[(501, 1)].score
+    # neither partitions nor the split of hot contexts matter
+    want = sorted((k, r.score, r.bits_per_byte) for k, r in got.items())
+    before = lm.HOT, lm.HOT_LEAST, lm.SALTS
+    try:
+        lm.HOT, lm.HOT_LEAST, lm.SALTS = 1 << 40, 1, 3  # every context is hot
+        again = lm.score_documents(docs.repartition(7), held, late).collect()
+        assert sorted(((r.doc_id, r.n_tokens), r.score, r.bits_per_byte) for r in again) == want
+    finally:
+        lm.HOT, lm.HOT_LEAST, lm.SALTS = before
 
 
 def _signals(t):
