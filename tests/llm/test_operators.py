@@ -263,9 +263,8 @@ def test_lm_scores_by_hand(spark):
     rows += [(i + 200, rows[i][1]) for i in range(40)] + [(500, None), (501, " "), (502, rows[3][1].upper())]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held, late = lm.fold(5) == 1, lm.fold(5) == 0
-    known = docs.select("text", held.alias("held_out"), late.alias("late"), F.col("doc_id").alias("row"))
-    hot, total = lm.hot_contexts(known)
-    mixer, tables, agreements = lm.train(known, hot, 4)
+    known = lm.numbered(docs, held, late)
+    mixer, tables, agreements = lm.train(known, lm.hot_contexts(known), 8)
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     counts, seen = Counter(), {}
     for i, t in rows:
@@ -299,13 +298,13 @@ def test_lm_scores_by_hand(spark):
     assert got[(500, 1)].score == got[(501, 1)].score
     # neither partitions nor the split of hot contexts matter
     want = sorted((k, r.score, r.bits_per_byte) for k, r in got.items())
-    before = lm.HOT, lm.HOT_LEAST, lm.SALTS
+    before = lm.HOT, lm.HOT_LEAST, lm.SALTS, lm.PROBE
     try:
-        lm.HOT, lm.HOT_LEAST, lm.SALTS = 1 << 40, 1, 3  # every context is hot
+        lm.HOT, lm.HOT_LEAST, lm.SALTS, lm.PROBE = 1 << 40, 1, 3, 1  # every context is hot
         again = lm.score_documents(docs.repartition(7), held, late).collect()
         assert sorted(((r.doc_id, r.n_tokens), r.score, r.bits_per_byte) for r in again) == want
     finally:
-        lm.HOT, lm.HOT_LEAST, lm.SALTS = before
+        lm.HOT, lm.HOT_LEAST, lm.SALTS, lm.PROBE = before
 
 
 def _signals(t):
