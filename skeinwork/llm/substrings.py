@@ -2,29 +2,35 @@
 
 Edges of the graph are token k-mers: windows of ``WINDOW`` consecutive words.  Along a document,
 edges that share their minimizer (the least hash among the window's runs of ``SEED_WORDS`` words)
-form a path without a branch of its own; the path is one row, labelled by a hash of all its words.
+form a path without a branch of its own; the path is one row, labelled by a digest of all its words.
 Spark joins then compact the graph by minimizer: a minimizer that only one document has is no repeat
 and goes; where all documents that share one agree in the label, the whole path is one repeat; where
 labels differ, the path branches and only there, in one document per label, it is taken apart into
 its edges, which are read again from the text at the path's coordinates and compared one by one.
 
 A window is removed where its words also start in a document with a smaller doc_id.  Two windows of
-equal words have equal minimizers, so none is missed; labels are compared together with the
-minimizer and edges by two hashes, 128 bits either way.
+equal words have equal minimizers, so none is missed.  What is compared are the words at the source
+coordinates: labels and edges are 128-bit BLAKE2b digests of the words themselves there, so unequal
+words are not taken for equal; the rolling hashes only choose minimizers.
+
+A minimizer may be in any number of documents: verdicts are found by partial aggregation and written
+before they are joined, so a hot one is broadcast or split, and never sits in one task.
 
 Edge cases: a null text has no words; fewer words than a window stay whole; a null doc_id is neither
 smaller nor larger than any, so such rows stay whole; rows that repeat a doc_id are judged each, none
 of them earlier than the other; a document without removals keeps its text unchanged, else its words
-are joined by one blank; extra columns are carried along; whole texts count, however long.
+are joined by one blank; extra columns are carried along, but those named as a result give way to it; whole texts count, however long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +44,9 @@ STRETCH = 1 << 16
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
+#: Words of more bytes are hashed by XXH64.
+_LONG = 256
 _MASK = (1 << 64) - 1
 
 
@@ -88,20 +96,54 @@ def cut(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, np.flatnonzero(change == -1), np.flatnonzero(change == 1)
 
 
-def word_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray, base: int) -> np.ndarray:
-    return spans(sums(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), base), starts, stops, base)
+def word_hashes(data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes after eight, each mixed into what came before."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = mixed((stops - starts).astype(np.uint64))
+    left, at = np.arange(len(starts)), starts
+    for _ in range(_LONG // 8):
+        block = np.ascontiguousarray(eight[at]).view("<u8")[:, 0]
+        short = np.minimum(stops[left] - at, 8).astype(np.uint64)
+        block = block << (np.uint64(64) - np.uint64(8) * short)
+        out[left] = mixed(out[left] * np.uint64(_BASE) ^ block)
+        more = stops[left] - at > 8
+        left, at = left[more], at[more] + 8
+        if not len(left):
+            break
+    for i in left.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : stops[i]])
+    return out
+
+
+def digests(data: bytes, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests, as two longs, of the words first..last, joined by one blank, of each run."""
+    joined, size = data, stops - starts
+    if len(starts) and (stops[-1] - starts[0] != size.sum() + len(starts) - 1 or _odd(data, starts, stops)):
+        joined = b" ".join(data.split())
+        starts = np.cumsum(size + 1) - size - 1
+        stops = starts + size
+    view = memoryview(joined)
+    made = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), stops[last].tolist())])
+    both = np.frombuffer(made, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _odd(data: bytes, starts: np.ndarray, stops: np.ndarray) -> bool:
+    """Whether anything but one blank stands between two words."""
+    between = np.frombuffer(data, np.uint8)[stops[:-1]]
+    return bool((between != 32).any())
 
 
 def paths(text: str | None, window: int = WINDOW, seed: int = SEED_WORDS) -> tuple[np.ndarray, ...]:
-    """Minimizer, label, first window and number of windows of each path of a text."""
+    """Minimizer, both halves of the label, first window and number of windows of each path of a text."""
     data, starts, stops = cut(text)
     n = len(starts) - window + 1
     if n < 1:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int32, np.int32))
-    base = _BASES[0]
-    prefix = sums(word_hashes(data, starts, stops, base), base)
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int32, np.int32))
+    prefix = sums(word_hashes(data, starts, stops), _BASE)
     at = np.arange(len(starts) - seed + 1)
-    runs = spans(prefix, at, at + seed, base)
+    runs = spans(prefix, at, at + seed, _BASE)
     wide = window - seed + 1
     least = np.empty(n, np.int64)
     for k in range(0, n, STRETCH):
@@ -109,16 +151,15 @@ def paths(text: str | None, window: int = WINDOW, seed: int = SEED_WORDS) -> tup
         least[k : k + len(part)] = part.argmin(axis=1) + np.arange(k, k + len(part))
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     size = np.diff(np.r_[first, n])
-    label = spans(prefix, first, first + size + window - 1, base)
-    return runs[least[first]].view(np.int64), label.view(np.int64), first.astype(np.int32), size.astype(np.int32)
+    label = digests(data, starts, stops, first, first + size + window - 2)
+    return runs[least[first]].view(np.int64), *label, first.astype(np.int32), size.astype(np.int32)
 
 
 def edges(text: str | None, where: list[tuple[int, int]], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Two hashes and the first word of each window of the paths ``where`` (first window, number)."""
+    """Both halves of the digest and the first word of each window of the paths ``where`` (first window, number)."""
     data, starts, stops = cut(text)
     at = np.concatenate([np.arange(a, a + n) for a, n in where])
-    a, b = (spans(sums(word_hashes(data, starts, stops, base), base), at, at + window, base) for base in _BASES)
-    return a.view(np.int64), b.view(np.int64), at.astype(np.int32)
+    return *digests(data, starts, stops, at, at + window - 1), at.astype(np.int32)
 
 
 def _batch(parts: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -133,22 +174,22 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     [start, stop), as found.
     """
     known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("sha"), "text")
-    names, kinds = ["least", "label", "doc_id", "sha", "start", "n"], [pa.int64()] * 4 + [pa.int32()] * 2
+    names, kinds = ["least", "label", "rest", "doc_id", "sha", "start", "n"], [pa.int64()] * 5 + [pa.int32()] * 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for doc, sha, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                least, label, start, n = paths(text.as_py(), window)
-                parts.append((least, label, np.full(len(start), doc), np.full(len(start), sha), start, n))
+                least, label, rest, start, n = paths(text.as_py(), window)
+                parts.append((least, label, rest, np.full(len(start), doc), np.full(len(start), sha), start, n))
             yield _batch(parts, names, kinds)
 
-    every = materialize(known.mapInArrow(find, "least long, label long, doc_id long, sha long, start int, n int"), "paths")
-    shared = every.groupBy("least").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("label") < F.max("label")).alias("branches"))
-    shared = shared.filter("lo < hi").select("least", "branches")
+    every = materialize(known.mapInArrow(find, "least long, label long, rest long, doc_id long, sha long, start int, n int"), "paths")
+    shared = every.groupBy("least").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min(F.struct("label", "rest")) < F.max(F.struct("label", "rest"))).alias("branches"))
+    shared = materialize(shared.filter("lo < hi").select("least", "branches"), "shared")
     repeated = materialize(every.join(shared, "least"), "repeated")
-    earliest = repeated.groupBy("least", "label").agg(F.min("doc_id").alias("first"))
-    told = repeated.join(earliest, ["least", "label"])
+    earliest = materialize(repeated.groupBy("least", "label", "rest").agg(F.min("doc_id").alias("first")), "earliest")
+    told = repeated.join(earliest, ["least", "label", "rest"])
     whole = told.filter("doc_id > first").select("doc_id", "sha", "start", (F.col("start") + F.col("n") + (window - 1)).alias("stop"))
     apart = told.filter("doc_id = first and branches").groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
 
@@ -163,6 +204,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     placed = known.join(apart, ["doc_id", "sha"]).select("doc_id", "sha", "text", "paths").dropDuplicates(["doc_id", "sha"])
     single = materialize(placed.mapInArrow(take, "a long, b long, doc_id long, sha long, start int"), "edges")
     twice = single.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
+    twice = materialize(twice, "twice")
     one = single.join(twice, ["a", "b"]).filter("doc_id > first").select("doc_id", "sha", "start", (F.col("start") + window).alias("stop"))
     return whole.unionByName(one).groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -178,18 +220,19 @@ def removed(words: int, where: list[dict] | None) -> np.ndarray:
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with text cut down, and ``n_words``, ``n_removed``, ``kept_words`` (the kept words joined by one blank)."""
-    names = docs.columns
+    results = ("n_words", "n_removed", "kept_words")
+    names = [n for n in docs.columns if n not in results]
+    others = [n for n in names if n != "text"]
+    boxed = docs.select("doc_id", F.xxhash64("text").alias("sha"), "text", F.struct(*(F.col(f"`{n}`") for n in others)).alias("others"))
+    joined = boxed.join(repeats(docs, window), ["doc_id", "sha"], "left").select("others", "text", "spans")
     schema = T.StructType(
-        [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType())]
+        [joined.schema["others"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType())]
     )
-    found = repeats(docs, window).select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_sha")), "left").select(*names, "_spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts, n_words, n_removed, kept = [], [], [], []
-            for text, where in zip(columns["text"], columns["_spans"].to_pylist()):
+            for text, where in zip(batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
                 words = (text or "").encode().split()
                 gone = removed(len(words), where)
@@ -198,7 +241,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 kept.append(left)
-            made = [pa.array(texts, pa.string()) if n == "text" else columns[n] for n in names]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
+            made = [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["others", "text", *results])
 
-    return joined.mapInArrow(keep, schema)
+    made = joined.mapInArrow(keep, schema)
+    return made.select(*("text" if n == "text" else F.col("others").getField(n).alias(n) for n in names), *results)
