@@ -7,12 +7,14 @@ distinct shingles.
 Edge cases: a null text is an empty one, whose sketch is empty; two empty sketches resemble each
 other fully, an empty and another not at all; a text of fewer words than a shingle is one shingle;
 equal texts have equal sketches.  In ``edited``: rows of equal doc_id follow each other by a hash of
-the text; a null doc_id comes after all others; a single document is its own next one; extra
-columns are ignored; no rows give no rows.
+the text; a null doc_id comes after all others; a single document is its own next one; doc_ids may
+be as far apart as 64 bits allow; extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from skeinwork.llm.words import words
 #: Sketch size and words of a shingle.
 K, SHINGLE = 128, 5
 
-#: Buckets of doc_id ranges at most; so many boundary rows are broadcast.
-BUCKETS = 4096
+#: Ranges of doc_id at most (their first rows are broadcast), rows of each at least, and parts of the rows of one frequent doc_id.
+RANGES, ROWS, PARTS = 1 << 16, 64, 64
 
 
 def shingles(w: str, size: int = SHINGLE) -> Column:
@@ -75,22 +77,40 @@ def followed(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, ``carried``) with ``next_`` columns of the document that follows
     by falling doc_id; after the last comes the first.
 
-    Rows go to ranges of doc_id; the first row of each range is also sent, as a stand-in, to the end
-    of the range above, so no row needs another range, and nothing is ordered in one task.
+    Rows go to ranges of doc_id between quantiles, so ranges are alike however ids are spread; the first
+    row of each range is also sent, as a stand-in, to the end of the range before, so no row needs another
+    range, and nothing is ordered in one task.  A doc_id so frequent that it is two quantiles, and the null
+    one, go to parts of their own by the hash of the text, by which their rows are ordered anyway.
     """
-    bounds = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    low, high, n = bounds[0] or 0, bounds[1] or 0, bounds[2] or 0
-    width = max(1, -(-(high - low + 1) // max(1, min(BUCKETS, n // 64))))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"))
-    heads = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    by_bucket = Window.orderBy("bucket")  # BUCKETS + 1 rows at most
-    above = F.coalesce(F.lead("bucket").over(by_bucket), F.first("bucket").over(by_bucket))
-    heads = F.broadcast(heads.select("bucket", "head", above.alias("above")))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head"))
-    placed = docs.withColumn("bucket", bucket).join(heads, "bucket")
-    placed = placed.withColumn("place", F.explode(F.when(is_head, F.array(F.struct("bucket", F.lit(0).alias("late")), F.struct(F.col("above").alias("bucket"), F.lit(1).alias("late")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("late")))))).drop("bucket", "head", "above").select("*", "place.*").drop("place")
-    order = Window.partitionBy("bucket").orderBy("late", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    return placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).filter("late = 0").drop("bucket", "late")
+    n = docs.filter(F.col("doc_id").isNotNull()).count()
+    ranges = max(1, min(RANGES, n // ROWS))
+    shares = [k / ranges for k in range(1, ranges)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 8 * ranges))).first()[0] or [] if shares else []
+    bounds = sorted(set(found))
+    frequent = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    side = max(1, math.isqrt(len(bounds)))
+    number = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<long>") if x else F.array().cast("array<long>")
+    up_to = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
+    coarse = up_to(number(bounds[::side]))
+    fine = up_to(F.slice(number(bounds), (F.greatest(coarse, F.lit(1)) - 1) * side + 1, side))
+    reached = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * side + fine).cast("long")
+    part = F.shiftright("hash", 58) + F.lit(33)  # 1 to PARTS, rising with the hash
+    of_frequent = F.col("doc_id").isin(frequent) if frequent else F.lit(False)
+    # a frequent doc_id is the least of its range, so it comes last there
+    at = F.when(F.col("doc_id").isNull(), F.lit(1).cast("long") * 2 * PARTS + part).otherwise(-reached * 2 * PARTS + F.when(of_frequent, part).otherwise(0))
+    placed = docs.withColumn("hash", F.xxhash64("text")).withColumn("at", at)
+    heads = docs.select("doc_id", F.xxhash64("text").alias("hash")).withColumn("at", at).groupBy("at").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("turned"))).alias("head"))
+    by_place = Window.orderBy("at")  # RANGES rows and PARTS of each frequent doc_id, at most
+    whole = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("at").over(by_place), F.last("at").over(whole))
+    heads = F.broadcast(heads.select("at", "head", before.alias("before")))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.bitwise_not("hash") == F.col("head.turned"))
+    own = F.struct(F.col("at"), F.lit(0).alias("late"))
+    stand_in = F.struct(F.col("before").alias("at"), F.lit(1).alias("late"))
+    placed = placed.join(heads, "at").withColumn("place", F.explode(F.when(is_head, F.array(own, stand_in)).otherwise(F.array(own))))
+    placed = placed.select(*docs.columns, "hash", "place.*")
+    order = Window.partitionBy("at").orderBy("late", F.desc_nulls_last("doc_id"), "hash")
+    return placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).filter("late = 0").drop("at", "late", "hash")
 
 
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
