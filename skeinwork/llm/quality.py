@@ -10,9 +10,9 @@ good documents to the rules.  A stratum with too few labels gets no cutoff and k
 ``joint_cutoffs`` proves all ladders together, which takes fewer labels; the pipeline uses it, while
 the query keeps the split that its SQL states.
 
-Edge cases: a null text is an empty one (no words, base_failed); a null language is a stratum of
-its own, and so is any other, however many there are (the rows of cutoffs are few, since each takes
-hundreds of labels to prove); null labels and null doc_ids prove nothing; a document labelled several times counts once per label row; repeated
+Edge cases: a null text is an empty one (no words, base_failed); a null language shares
+the stratum of the empty one, and so is any other, however many there are (the rows of cutoffs are few, since each takes
+hundreds of labels to prove); null labels and null doc_ids prove nothing; a document labelled several times is one piece of evidence, good if all its labels say so; repeated
 documents are judged each; extra columns of either table are ignored; with no labels, only the
 base rules reject.
 """
@@ -106,11 +106,14 @@ def _held(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """(stratum, one column per rule: how many steps of its ladder fail) of documents labelled good that pass the base rules.
 
     A document that fails a ladder's lenient step fails all later ones, so it fails the last steps.
+    Each doc_id is one piece of evidence, however often it is labelled or comes: it is good if no label
+    says otherwise, and of its rows the one with the greatest stratum and failures counts.
     """
-    good = labels.filter(F.col("quality") == 1).select("doc_id")
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).filter("least = 1 and most = 1").select("doc_id")
     held = measured.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *(x.alias(r) for r, x in rules().items()), base_failed().alias("failed"))
     failed = (sum(((F.col(rule) > c).cast("int") for c in steps), F.lit(0)).alias(rule) for rule, steps in LADDERS.items())
-    return checkpoint(held.join(good, "doc_id").filter(~F.col("failed")).select("stratum", *failed))
+    rows = held.join(good, "doc_id").filter(~F.col("failed")).select("doc_id", F.struct("stratum", *failed).alias("row"))
+    return checkpoint(rows.groupBy("doc_id").agg(F.max("row").alias("row")).select("row.*"))
 
 
 def _proven(each: DataFrame, risk: float, doubt: float) -> DataFrame:
