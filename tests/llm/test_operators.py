@@ -282,7 +282,7 @@ def test_lm_scores_by_hand(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held, late = lm.fold(5) == 1, lm.fold(5) == 0
     known = lm.numbered(docs, held, late)
-    mixer, tables, agreements = lm.train(known, lm.hot_contexts(known), 8)
+    mixer, tables, agreements = lm.train(known, lm.count_words(known.filter(~F.col("held_out"))), lm.hot_contexts(known), 8)
     fold = lambda i: zlib.crc32(str(i).encode()) % 5
     counts, seen = Counter(), {}
     for i, t in rows:
