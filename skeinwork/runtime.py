@@ -6,6 +6,7 @@ executors may be lost at any time, so nothing is ever kept on one machine only.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more, now and not at its next sweep."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written() -> int:
     """How many tables ``materialize`` has written and ``release`` has not deleted."""
     return len(_WRITTEN)
