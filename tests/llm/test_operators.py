@@ -502,7 +502,9 @@ def test_fingerprints(spark):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
-    awkward(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    names = ["_stay", "_doc_id", "_lang", "_sha", "_present", "_rest", "_spans", "_doc", "sha", "id", "n_removed"]
+    odd = awkward(spark).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)), F.lit("dot").alias("x.y"))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns = docs.columns
