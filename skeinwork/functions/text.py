@@ -59,8 +59,8 @@ def search_norm(text: Column) -> Column:
     return norm(F.regexp_replace(text, r"[\x{200C}\x{200D}]", ""))
 
 
-def identity_norm(text: Column) -> Column:
-    """``norm``, decomposed for compatibility and without any marks (a vectorised UDF)."""
+def without_marks(text: Column) -> Column:
+    """The text decomposed for compatibility and without any marks (a vectorised UDF)."""
 
     @F.pandas_udf("string")
     def plain(values: pd.Series) -> pd.Series:
@@ -69,7 +69,12 @@ def identity_norm(text: Column) -> Column:
 
         return values.map(one)
 
-    return plain(norm(text))
+    return plain(text)
+
+
+def identity_norm(text: Column) -> Column:
+    """``norm``, then ``without_marks``."""
+    return without_marks(norm(text))
 
 
 def identity_key(artist: Column, title: Column) -> Column:

@@ -118,8 +118,8 @@ def ttl_freshness(t):
 
 @query("SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING bool_and(l_quantity >= 10)")
 def all_or_nothing_list(t):
-    lists = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
-    return lists.filter(F.forall("q", lambda x: x >= 10)).select(F.col("l_orderkey").alias("o_orderkey"))
+    lists = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_quantity") >= 10).alias("all"))
+    return lists.filter("all").select("o_orderkey")
 
 
 @query("""SELECT count(*) FILTER (WHERE l_returnflag <> 'R' OR e) AS trusted, count(*) FILTER (WHERE NOT (l_returnflag <> 'R' OR e)) AS quarantined

@@ -79,3 +79,23 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_decisions(spark):
+    from pyspark.sql import functions as F
+
+    from skeinwork.functions import decisions as d
+
+    c = F.col
+    rows = [("Ébi & Dariush", "Ebi", True), ("Ebi", "Ebi & Dariush", False), ("Dariush, Ebi", "Ebi & Dariush", True), ("", "Ebi", False), (None, "x", False), ("Ebi", "EBI", True)]
+    made = spark.createDataFrame(rows, "credit string, artist string, want boolean").select("want", d.credit_in_context(c("credit"), c("artist")).alias("got")).collect()
+    assert all(r.got == r.want for r in made), made
+    rows = [("Song (feat. Ali)", "Ali", True), ("Song ft. Ali - live", "Ali", True), ("Song", "Ali", False), (None, "Ali", False), ("Song (feat. Alibaba)", "Ali", False)]
+    made = spark.createDataFrame(rows, "title string, artist string, want boolean").select("want", d.title_credits(c("title"), c("artist")).alias("got")).collect()
+    assert all(r.got == r.want for r in made), made
+    rows = [(0, 9, False, 0, False), (1, 0, False, 0, True), (1, 0, True, 0, False), (1, 1, False, 3, False), (2, 1, False, 0, True), (2, 2, False, 0, False), (2, 2, False, 1, True)]
+    made = spark.createDataFrame(rows, "n int, best int, consensus boolean, extra int, want boolean").select("want", d.needs_fallback(c("n"), c("best"), c("consensus"), c("extra")).alias("got")).collect()
+    assert all(r.got == r.want for r in made), made
+    rows = [(200, "image/png", 5), (None, None, None), (204, "", 10**9), (500, "x", 1)]
+    made = [tuple(r.m) for r in spark.createDataFrame(rows, "s int, t string, n long").select(d.http_meta(c("s"), c("t"), c("n")).alias("m")).collect()]
+    assert made == [(True, None, "image/png", True), (False, "HTTP unknown", None, None), (False, "file too large: 1000000000", None, None), (False, "HTTP 500", None, None)]
