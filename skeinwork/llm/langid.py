@@ -1,18 +1,20 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of ``ORDER`` characters per language, learnt from a bounded sample of labelled texts.  For
-each order the n-grams of all languages lie in one sorted array of hashes beside a matrix of log
-probabilities, one column per language; what an order lacks is looked up in the next lower one with
-the back-off weight of its context.  The language with the lowest cross-entropy per character wins.
+each order the n-grams of up to ``TOGETHER`` languages lie in one sorted array of hashes beside a
+matrix of log probabilities, one column per language; what an order lacks is looked up in the next
+lower one with the back-off weight of its context.  More languages have further arrays, so the model
+grows in proportion to their number.  The language with the lowest cross-entropy per character wins.
 A part of the sample is kept out of the counts and calibrates the temperature of the score and, per
-language, the cross-entropy above which a text is rejected.
+language, the cross-entropy above which a text of ``SHORTEST`` characters or more is rejected: of
+texts in a learnt language that are predicted rightly, a share of ``RATE`` on average.
 
 Texts are compared in lower case, with every run of other characters than letters as one blank.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and rejected; a null label
-teaches nothing; of more than ``LANGUAGES`` labels the rarest teach nothing; with no labels at all
-everything is ``und``; ties go to the label that sorts first; repeated rows are predicted each;
-extra columns are carried along; whole texts count, however long.
+teaches nothing; with no labels at all everything is ``und``; ties go to the label that sorts first;
+repeated rows are predicted each; extra columns are carried along, but for those named like a result,
+which give way; whole texts count, however long.
 """
 
 from __future__ import annotations
@@ -27,10 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork import runtime
+
 ORDER = 4
 
-#: Labelled texts per language to learn from, about; languages at most.
-SAMPLE, LANGUAGES = 1500, 256
+#: Labelled texts per language to learn from, about.
+SAMPLE = 1500
+
+#: Languages that share arrays; labels whose counts may be broadcast (about 1 MB).
+TOGETHER, BROADCAST = 64, 1 << 14
+
+#: Share of texts in their own language that may be rejected; characters below which no text is;
+#: kept-out texts that a language needs for a limit by its own spread.
+RATE, SHORTEST, OWN = 0.001, 20, 20
 
 #: Code points scored at a time.
 STRETCH = 1 << 20
@@ -69,20 +80,19 @@ def hashed(run: str) -> int:
     return made
 
 
-class Model:
+class Part:
     """``keys[n]``, ``logs[n]``: hashes of n-grams and log2 P per language; ``contexts[n]``,
-    ``weights[n]``: hashes of contexts and log2 of their back-off weights."""
+    ``weights[n]``: hashes of contexts and log2 of their back-off weights.  ``size``: characters that
+    any language has, and one for all others."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], discount: float = 0.75):
+    def __init__(self, counts: dict[str, dict[str, int]], size: int, discount: float):
         self.languages = sorted(counts)
-        self.temperature, self.limits = 1.0, {x: np.inf for x in self.languages}
         wide = len(self.languages)
         levels: list[list[dict[str, int]]] = [[{} for _ in range(ORDER + 1)] for _ in self.languages]
         for table, language in zip(levels, self.languages):
             table[ORDER] = counts[language]
             for n in range(ORDER - 1, 0, -1):  # how many different characters come before
                 table[n] = Counter(run[1:] for run in table[n + 1])
-        size = len({run for table in levels for run in table[1]}) + 1
         self.floor = -np.log2(size)
         self.keys, self.logs = [np.zeros(0, np.uint64)] * (ORDER + 1), [np.zeros((0, wide), np.float32)] * (ORDER + 1)
         self.contexts, self.weights = list(self.keys), list(self.logs)
@@ -118,7 +128,7 @@ class Model:
     def _total(self, points: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
         """Sum of log2 P per language of the characters at ``ends``, by ``n``-grams and lower orders."""
         if n == 0 or not len(ends):
-            return np.full(len(self.languages), self.floor * len(ends))
+            return np.full(self.logs[ORDER].shape[1], self.floor * len(ends))
         made = points[ends - n + 1].copy()
         for j in range(1, n):
             made *= _MULTIPLIER
@@ -135,6 +145,23 @@ class Model:
         at, found = self._find(self.contexts[n], context)
         return total + self.weights[n][at[found]].sum(axis=0, dtype=float) + self._total(points, rest, n - 1)
 
+    def total(self, points: np.ndarray) -> np.ndarray:
+        """Sum of log2 P per language of all characters but the first ``ORDER - 1``."""
+        return self._total(points, np.arange(ORDER - 1, len(points)), ORDER)
+
+
+class Model(Part):
+    """All languages: the first ``TOGETHER`` in arrays of its own, others in further parts."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], discount: float = 0.75, together: int = TOGETHER):
+        names = sorted(counts)
+        size = len({run[-1] for own in counts.values() for run in own}) + 1
+        first, *others = [{x: counts[x] for x in names[k : k + together]} for k in range(0, max(len(names), 1), together)]
+        super().__init__(first, size, discount)
+        self.others = [Part(some, size, discount) for some in others]
+        self.languages = names
+        self.temperature, self.limits = 1.0, {x: np.inf for x in names}
+
     def entropies(self, text: str | None) -> tuple[int, np.ndarray]:
         """Characters scored, and the cross-entropy per character for each language."""
         plain = letters(text)
@@ -144,7 +171,7 @@ class Model:
         total, n = np.zeros(len(self.languages)), len(points) - ORDER + 1
         for start in range(ORDER - 1, len(points), STRETCH):
             part = points[start - ORDER + 1 : start + STRETCH]
-            total += self._total(part, np.arange(ORDER - 1, len(part)), ORDER)
+            total += np.concatenate([self.total(part), *(x.total(part) for x in self.others)])
         return n, -total / n
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -154,7 +181,7 @@ class Model:
             return UND, 0.0, True
         best = int(h.argmin())
         odds = 2.0 ** np.clip(-(h - h[best]) * n * self.temperature, -1000, 0)
-        return self.languages[best], float(1 / odds.sum()), bool(h[best] > self.limits[self.languages[best]])
+        return self.languages[best], float(1 / odds.sum()), n >= SHORTEST and bool(h[best] > self.limits[self.languages[best]])
 
     def calibrate(self, scored: list[tuple[str, int, list[float]]]) -> None:
         """Fit the temperature and the limits to (language, characters, entropies) of kept-out texts."""
@@ -166,19 +193,31 @@ class Model:
             each = [(place[x], -t * n * (np.array(h) - min(h))) for x, n, h in scored]
             loss[t] = sum(np.log2((2.0 ** np.clip(z, -1000, 0)).sum()) - z[i] for i, z in each)
         self.temperature = min(loss, key=loss.get)
-        for x in self.languages:
-            own = np.array([h[place[x]] for y, n, h in scored if y == x and n >= 20])
-            if len(own) >= 20:
-                high, mid = np.quantile(own, 0.99), np.median(own)
-                self.limits[x] = max(own.max(), high + 3 * (high - mid)) + 0.25
+        right = [(x, h[place[x]]) for x, n, h in scored if n >= SHORTEST and h[place[x]] == min(h)]
+        if not right:
+            return
+        every = np.array([h for _, h in right])
+        own = {x: np.array([h for y, h in right if y == x]) for x in self.languages}
+        spread = {x: self._spread(h if len(h) >= OWN else every) for x, h in own.items()}
+        far = np.sort([(h - spread[x][0]) / spread[x][1] for x, h in right])
+        rank = int(np.ceil((len(far) + 1) * (1 - RATE)))  # the next text is beyond it with chance RATE at most
+        edge = far[rank - 1] if rank <= len(far) else 4 * max(np.quantile(far, 0.99), 1.0)  # too few texts for that
+        self.limits = {x: mid + max(edge, 0.0) * wide for x, (mid, wide) in spread.items()}
+
+    @staticmethod
+    def _spread(h: np.ndarray) -> tuple[float, float]:
+        """The median, and how far the upper tenth begins above it."""
+        mid = float(np.median(h))
+        return mid, max(float(np.quantile(h, 0.9)) - mid, 1e-3)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of (text, lang) rows of ``labelled`` (with doc_id), at most about ``sample`` a language."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = runtime.materialize(known.groupBy("lang").count(), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
     share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = known.join(F.broadcast(sizes), "lang").filter(share < F.lit(float(sample)) / F.col("count"))
+    drawn = known.join(sizes, "lang").filter(share < F.lit(float(sample)) / F.col("count"))
     drawn = drawn.withColumn("kept_out", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +252,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Append lang_pred, score and rejected to ``docs``."""
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

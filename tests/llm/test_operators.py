@@ -144,6 +144,75 @@ def test_langid(spark):
     assert (model.logs[4] <= 0).all() and h in set(model.contexts[4].tolist())
 
 
+def _kneser_ney(corpus: list[str], size: int):
+    """P(character | three before) by the definition, from whole counts."""
+    from skeinwork.llm.langid import ORDER
+
+    runs = Counter(f"   {x} "[j : j + ORDER] for x in corpus for j in range(len(x) + 1))
+    tables = {ORDER: runs}
+    for n in range(ORDER - 1, 0, -1):
+        tables[n] = Counter(run[1:] for run in tables[n + 1])
+
+    def chance(run: str) -> float:
+        if not run:
+            return 1 / size
+        under = {r: c for r, c in tables[len(run)].items() if r[:-1] == run[:-1]}
+        if not under:
+            return chance(run[1:])
+        total = sum(under.values())
+        return max(under.get(run, 0) - 0.75, 0) / total + 0.75 * len(under) / total * chance(run[1:])
+
+    return chance
+
+
+@pytest.mark.parametrize("together", [64, 2])
+def test_langid_is_kneser_ney(together):
+    from skeinwork.llm import langid
+
+    corpora = {"p": ["abba cab", "bac"], "q": ["cabbage bag", "gab"], "r": ["xyz", "zyx a"], "s": ["b"], "t": ["üñ üñ"]}
+    counts = {x: Counter(f"   {y} "[j : j + 4] for y in own for j in range(len(y) + 1)) for x, own in corpora.items()}
+    size = len({c for own in corpora.values() for y in own for c in f"{y} "}) + 1
+    model = langid.Model(counts, together=together)
+    assert len(model.others) == (0 if together == 64 else 2)
+    by_hand = {x: _kneser_ney(own, size) for x, own in corpora.items()}
+    for text in ("abba", "bag cab gab", "zzz", "ü", "漢字 cab"):
+        n, h = model.entropies(text)
+        padded = f"   {text} "
+        want = [-sum(math.log2(by_hand[x](padded[j : j + 4])) for j in range(n)) / n for x in sorted(corpora)]
+        assert n == len(text) + 1 and np.allclose(h, want, rtol=1e-5)
+
+
+def test_langid_of_many_languages_and_awkward_rows(spark):
+    from skeinwork.llm import langid
+
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices([chr(0x4E00 + 8 * (i % 300) + j) for j in range(8)], k=4)) for _ in range(8)), f"l{i % 300:03}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 300 and len(model.others) == 4
+    assert all(r.lang == r.lang_pred for r in langid.predict(docs, model).collect())
+    made = langid.predict(awkward(spark), langid.fit(awkward(spark)))
+    assert made.columns.count("lang_pred") == made.columns.count("rejected") == 1
+    got = made.select("doc_id", "text", "lang_pred", "score", "rejected").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, _ in awkward_rows())
+    assert all((r.lang_pred == "und" and r.score == 0 and r.rejected) == (not langid.letters(r.text)) and 0 <= r.score <= 1 for r in got)
+    assert len({(r.text, r.lang_pred, r.score) for r in got}) == len({r.text for r in got})
+    assert langid.predict(empty(spark), model).count() == 0
+
+
+def test_langid_rejects_at_the_stated_rate():
+    from skeinwork.llm import langid
+
+    rng = np.random.default_rng(8)
+    model = langid.Model({"p": {"   a": 1}, "q": {"   b": 1}, "few": {"   c": 1}})
+    draw = lambda x, n: [(x, 100, [3 + y if z == x else 9.0 for z in ("few", "p", "q")]) for y in rng.gamma(4.0, 0.1, n)]
+    wrong = [("p", 100, [9.0, 8.9, 3.0])] * 9  # labelled p, yet in q: must not lift the limit of p
+    model.calibrate([*draw("p", 4000), *draw("q", 4000), *draw("few", 3), *wrong])
+    for x in ("p", "q", "few"):
+        beyond = np.mean([min(h) > model.limits[x] for _, _, h in draw(x, 40_000)])
+        assert 0 < beyond < 3 * langid.RATE and model.limits[x] < 8
+
+
 def test_substrings(spark):
     from skeinwork.llm import substrings
 
