@@ -7,7 +7,8 @@ lower one with the back-off weight of its context.  More languages have further
 grows in proportion to their number.  The language with the lowest cross-entropy per character wins.
 A part of the sample is kept out of the counts and calibrates the temperature of the score and, per
 language, the cross-entropy above which a text of ``SHORTEST`` characters or more is rejected: of
-texts in a learnt language that are predicted rightly, a share of ``RATE`` on average.
+texts in a learnt language that are predicted rightly, a share of ``RATE`` at most on average over
+the draws of kept-out texts; ``MARGIN`` is added, as one draw can do worse.
 
 Texts are compared in lower case, with every run of other characters than letters as one blank.
 
@@ -40,8 +41,8 @@ SAMPLE = 1500
 TOGETHER, BROADCAST = 64, 1 << 14
 
 #: Share of texts in their own language that may be rejected; characters below which no text is;
-#: kept-out texts that a language needs for a limit by its own spread.
-RATE, SHORTEST, OWN = 0.001, 20, 20
+#: kept-out texts that a language needs for a limit by its own spread; bits a character beyond it.
+RATE, SHORTEST, OWN, MARGIN = 0.001, 20, 20, 0.25
 
 #: Code points scored at a time.
 STRETCH = 1 << 20
@@ -202,7 +203,7 @@ class Model(Part):
         far = np.sort([(h - spread[x][0]) / spread[x][1] for x, h in right])
         rank = int(np.ceil((len(far) + 1) * (1 - RATE)))  # the next text is beyond it with chance RATE at most
         edge = far[rank - 1] if rank <= len(far) else 4 * max(np.quantile(far, 0.99), 1.0)  # too few texts for that
-        self.limits = {x: mid + max(edge, 0.0) * wide for x, (mid, wide) in spread.items()}
+        self.limits = {x: mid + max(edge, 0.0) * wide + MARGIN for x, (mid, wide) in spread.items()}
 
     @staticmethod
     def _spread(h: np.ndarray) -> tuple[float, float]:

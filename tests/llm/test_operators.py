@@ -210,7 +210,7 @@ def test_langid_rejects_at_the_stated_rate():
     model.calibrate([*draw("p", 4000), *draw("q", 4000), *draw("few", 3), *wrong])
     for x in ("p", "q", "few"):
         beyond = np.mean([min(h) > model.limits[x] for _, _, h in draw(x, 40_000)])
-        assert 0 < beyond < 3 * langid.RATE and model.limits[x] < 8
+        assert beyond <= langid.RATE and model.limits[x] < 6
 
 
 def test_substrings(spark):
