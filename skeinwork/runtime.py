@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back (lineage ends there)."""
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with the writer's ``options``, in the shared folder and read it back (lineage ends there)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append((label, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +70,16 @@ def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` gave as ``df``, which nothing will read again."""
+    read = df.inputFiles()[:1]
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for entry in [x for x in _WRITTEN if any(x[1].rsplit("/", 1)[-1] in f for f in read)]:
+        _WRITTEN.remove(entry)
+        where = jvm.org.apache.hadoop.fs.Path(entry[1])
+        where.getFileSystem(conf).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
