@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import bpe, chat, fingerprint, langid, lm, packing, quality, simhash, substrings, warc
+from skeinwork.llm import bpe, centroids, chat, fingerprint, langid, lm, media, packing, prefix_trie, quality, simhash, substrings, warc
 from skeinwork.runtime import materialize, table
 
 
@@ -91,7 +91,46 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_langid": op3_langid, "op4_substrings": op4_substrings, "op5_lm": op5_lm, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_chat": op8_chat, "op9_simhash": op9_simhash, "op10_fingerprints": op10_fingerprints}
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt so that those of a hundred share how they begin."""
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster all vectors of 64 components into eight by ten rounds."""
+    made = centroids.cluster(centroids.quantized(table(spark, sf_dir, "embeddings")))
+    return centroids.summary(*made).withColumnRenamed("id", "vec_id")
+
+
+def op13_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document as chunks of 8-bit samples, and tell what is read back."""
+    return media.stored_features(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_bpe, op2_packing, op3_langid, op4_substrings, op5_lm, op6_quality, op7_warc, op8_chat, op9_simhash, op10_fingerprints, op11_trie, op12_centroids, op13_media)
+}
+
+#: crc32 of a list of bytes in SQL.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {0}), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+  lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """The rounds one after the other: a<t> assigns every vector, c<t> are the centroids before that."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v FROM v ORDER BY k LIMIT 8)",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (SELECT r, min(d * 8 + k) % 8 AS k, min(d) AS d FROM (SELECT r, k, list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{t} c) GROUP BY r)""")
+        if t < rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (SELECT k, coalesce(n.v, c.v) AS v FROM c{t} c LEFT JOIN (SELECT k, list((s - (s % n + n) % n) // n ORDER BY i) AS v
+  FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v JOIN a{t} USING (r)) GROUP BY k, i) GROUP BY k) n USING (k))""")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(k AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+ CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (r) JOIN c{rounds} c USING (k)"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substrings": r"""
@@ -138,4 +177,26 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
   CAST(3 + sum(17 + length(role) + length(t) + length(role || t) - length(replace(role || t, '\', ''))
     + len(regexp_extract_all(role, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>'))) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id""",
+    "op11_trie": f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS t, length(coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, c - c % 100 AS b, {_CRC32.format("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 6 AS h FROM o GROUP BY c),
+w AS (SELECT n.c, n.n, n.b, n.h, least(n.h, coalesce(f.n, 0)) AS k FROM n LEFT JOIN n f ON f.c = n.b),
+r AS (SELECT w.c, o.p AS d, t, s FROM w JOIN o ON o.c = w.b AND o.p <= w.k UNION ALL SELECT w.c, o.p - w.h + w.k, t, s FROM w JOIN o ON o.c = w.c AND o.p > w.h),
+m AS (SELECT c, max(d) AS l FROM (SELECT c, d FROM r UNION ALL SELECT c, 0 FROM n) GROUP BY c),
+p AS (SELECT c, d, md5(string_agg(md5(t), '') OVER (PARTITION BY c ORDER BY d)) AS k, s FROM r UNION ALL SELECT c, 0, '', 0 FROM n),
+g AS MATERIALIZED (SELECT p.d, p.k, min(p.c) AS conv_id, count(*) AS n_convs, any_value(s) AS s, string_agg(p.c, ',' ORDER BY p.c) FILTER (WHERE l = p.d) AS ends FROM p JOIN m USING (c) GROUP BY p.d, p.k),
+e AS (SELECT g.d, g.k, u.k AS up, q.conv_id AS parent FROM g JOIN p u ON u.c = g.conv_id AND u.d = g.d - 1 JOIN g q ON q.d = u.d AND q.k = u.k),
+f AS (SELECT g.*, count(e.k) AS n_children FROM g LEFT JOIN e ON e.d = g.d + 1 AND e.up = g.k GROUP BY ALL),
+a AS (SELECT u.d, u.k, sum(CAST(f.n_children = 0 AS BIGINT)) AS n_leaves, sum((f.n_convs - 1) * f.s) AS saved FROM f JOIN p u ON u.c = f.conv_id AND u.d <= f.d GROUP BY u.d, u.k)
+SELECT f.conv_id, f.d AS depth, e.parent AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM f JOIN a USING (d, k) LEFT JOIN e USING (d, k)""",
+    "op12_centroids": _kmeans_sql(10),
+    "op13_media": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, doc_id, octet_length(b) AS n_bytes, b || from_hex(repeat('00', CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END)) AS p FROM d),
+h AS (SELECT *, octet_length(p) AS n, list_transform(regexp_extract_all(hex(p), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS x FROM p),
+m AS (SELECT *, from_hex('52494646' || printf('%02x%02x%02x%02x', (n + 36) % 256, (n + 36) // 256 % 256, (n + 36) // 65536 % 256, (n + 36) // 16777216) || '57415645666d74201000000001000100401f0000401f00000100080064617461'
+  || printf('%02x%02x%02x%02x', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216)) || p AS w FROM h)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(p) AS payload_sha256, {_CRC32.format("x[n - 63 : n]")} AS tail_crc32, octet_length(w) AS media_bytes, sha256(w) AS media_sha256,
+ array_to_string(list_transform(range(16), lambda i: printf('%02x', CAST(list_sum(x[i * n // 16 + 1 : (i + 1) * n // 16]) // (n // 16) AS BIGINT))), '') AS feature FROM m""",
 }
