@@ -12,8 +12,10 @@ the bytes it owns.  ``read`` puts payloads together: those that own all their ch
 others after a join that carries only chunks that payloads share.  It verifies the digest of every
 chunk and of the whole and fails on any difference.
 
-Shuffled are digests, each text once (compressed, to meet the verdict on its chunks) and shared
-chunks.  Frequent chunks and payloads are looked up by broadcast (``spread.look_up``: 256 chunks of
+Shuffled are digests and shared chunks, and texts that may share a chunk or be copies, compressed, to meet
+the verdict on their chunks.  Which texts may is told by a sieve of fixed size, a bitmap of the hashes of
+shared digests: those it clears share nothing and go to the store where they lie.  A full sieve would
+clear none and change no result.  Frequent chunks and payloads are looked up by broadcast (``spread.look_up``: 256 chunks of
 ``MOST`` bytes at most).
 
 Edge cases: a null text is an empty one; a payload without bytes is one unit of zeros; equal texts
@@ -35,13 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.spread import look_up
-from skeinwork.runtime import free_shuffles, materialize
+from skeinwork.runtime import discard, free_shuffles, materialize
 
 #: Samples a second of the stored form, bytes of its head, and what payloads are padded to.
 RATE, HEAD, UNIT = 8000, 44, 64
 
 #: Least and most samples of a chunk, and bits of the hash that are zero at a cut (about LEAST + 2^BITS samples a chunk).
-LEAST, MOST, BITS = 256, 8192, 10
+LEAST, MOST, BITS = 512, 16384, 11
+
+#: Bits of the sieve (8 MB): a set bit is a chunk that payloads share, a payload that rows share, or one of their hash.
+SIEVE = 1 << 26
 
 #: Samples hashed at a time; the hash looks back over 64.
 STRETCH = 1 << 20
@@ -117,22 +122,60 @@ def lists(docs: DataFrame) -> DataFrame:
 
 STORE = "media binary, n_bytes long, head binary, digests array<binary>, lengths array<int>, own array<boolean>, lent array<boolean>, bytes binary"
 
+_STORED = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary()]
+
+
+def _stored(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_STORED)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _STORED)], [x.split()[0] for x in STORE.split(", ")])
+
+
+def sieve(digests: DataFrame) -> np.ndarray:
+    """The bitmap of the hashes of ``digests`` (digest): ``SIEVE`` bits, however many there are."""
+    place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % SIEVE + 1  # Spark's buckets of 32768 positions count from one
+    rows = digests.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    told = np.zeros((SIEVE // 32768, 4096), np.uint8)
+    for r in rows.collect():  # SIEVE / 8 bytes at most
+        told[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    return told.reshape(-1)
+
+
+def _may_share(bits: np.ndarray, digests: list[bytes]) -> bool:
+    return any(bits[p >> 3] >> (p & 7) & 1 for p in (int.from_bytes(d[:4], "big") % SIEVE for d in digests))
+
 
 def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """The written store: rows of ``STORE``, one for each distinct payload of ``docs``, of which ``listed`` has the ``lists``."""
-    each = materialize(listed.select("media", "n_bytes", "digests", "lengths").dropDuplicates(["media"]), "payloads")
+    one = listed.groupBy("media").agg(F.any_value(F.struct("n_bytes", "digests", "lengths")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    each = materialize(one.select("media", "x.*", "copies"), "payloads")
     uses = materialize(each.select("media", F.explode(F.array_distinct("digests")).alias("digest")), "uses")
     shared = materialize(uses.groupBy("digest").agg(F.min("media").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
+    bits = docs.sparkSession.sparkContext.broadcast(sieve(shared.select("digest").unionByName(each.filter("copies > 1").select(F.col("media").alias("digest")))))
     foreign = look_up(uses, shared, ["digest"]).filter("media <> owner").groupBy("media").agg(F.collect_list("digest").alias("foreign"))
     lent = shared.groupBy(F.col("owner").alias("media")).agg(F.collect_list("digest").alias("lending"))
-    told = each.join(foreign, "media", "left").join(lent, "media", "left")
+    told = each.drop("copies").join(foreign, "media", "left").join(lent, "media", "left")
+
+    def cut(batches: Iterator[pa.RecordBatch], shared_too: bool) -> Iterator[list[tuple]]:
+        for whole in batches:
+            for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
+                out, texts = [], batch.column(1).to_pylist()
+                made = [payload(x) for x in texts]
+                for media, text, data, lengths in zip(batch.column(0).to_pylist(), texts, made, cuts(made)):
+                    chunks = _chunks(data, lengths)
+                    digests = [hashlib.sha256(c).digest() for c in chunks]
+                    if _may_share(bits.value, [media, *digests]) is shared_too:
+                        out.append((media, text.encode(), data, digests, lengths, chunks))
+                yield out
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [pa.compress(x.encode(), "zstd", asbytes=True) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["media", "packed"])
+        for rows in cut(batches, True):
+            packed = [pa.compress(r[1], "zstd", asbytes=True) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array(packed, pa.binary())], ["media", "packed"])
 
-    texts = _media(docs).select("media", "text").mapInArrow(press, "media binary, packed binary").dropDuplicates(["media"])
+    def keep_clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cut(batches, False):
+            held = lambda digests, chunks: b"".join(dict(zip(reversed(digests), reversed(chunks)))[d] for d in dict.fromkeys(digests))
+            yield _stored([(m, len(raw), head(len(x)), d, n, [True] * len(d), [False] * len(d), held(d, c)) for m, raw, x, d, n, c in rows])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,12 +189,14 @@ def store(docs: DataFrame, listed: DataFrame) -> DataFrame:
                         held.setdefault(digest, chunk)
                 own, lent = [x not in others for x in r["digests"]], [x in lending for x in r["digests"]]
                 out.append((r["media"], r["n_bytes"], head(len(data)), r["digests"], r["lengths"], own, lent, b"".join(held.values())))
-            columns = list(zip(*out)) or [()] * 8
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in STORE.split(", ")])
-
-    made = materialize(texts.join(told, "media").mapInArrow(keep, STORE), "chunks", compression="zstd")
-    free_shuffles(docs.sparkSession)
+            yield _stored(out)
+
+    texts = _media(docs).select("media", "text")
+    clear = texts.mapInArrow(keep_clear, STORE)
+    doubtful = texts.mapInArrow(press, "media binary, packed binary").dropDuplicates(["media"])
+    made = materialize(clear.unionByName(doubtful.join(told, "media").mapInArrow(keep, STORE)), "chunks", compression="zstd")
+    for spent in (each, uses, shared):
+        discard(spent)
     return made
 
 
@@ -240,6 +285,9 @@ def read(stored: DataFrame) -> DataFrame:
 def stored_features(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` with what its payload is after a way through the store and back."""
     listed = materialize(lists(docs), "lists")
-    back = materialize(read(store(docs, listed)), "media")
+    stored = store(docs, listed)
+    free_shuffles(docs.sparkSession)
+    back = materialize(read(stored), "media")
+    discard(stored)
     columns = [n for n, _ in FIELDS if n != "media"]
     return look_up(listed.select("doc_id", "n_bytes", "media"), back, ["media"]).select("doc_id", "n_bytes", *columns)

@@ -185,6 +185,18 @@ def test_chunks_are_kept_once_and_damage_is_seen(spark):
         media.put_together(whole, everything | {first: b"other"})
 
 
+def test_sieve_clears_only_what_is_not_shared(spark, monkeypatch):
+    from skeinwork.llm import media
+
+    digests = [hashlib.sha256(bytes([i])).digest() for i in range(200)]
+    bits = media.sieve(spark.createDataFrame([(d,) for d in digests[:100]], "digest binary"))
+    assert all(media._may_share(bits, [d]) for d in digests[:100]) and not any(media._may_share(bits, [d]) for d in digests[100:])
+    docs = spark.createDataFrame([(i, "some text " * (i % 4) + "x" * 3000 * (i % 3)) for i in range(24)], "doc_id long, text string")
+    usual = sorted(map(tuple, media.stored_features(docs).collect()))
+    monkeypatch.setattr(media, "sieve", lambda digests: np.full(media.SIEVE // 8, 255, np.uint8))
+    assert sorted(map(tuple, media.stored_features(docs).collect())) == usual
+
+
 def test_cuts_follow_the_content():
     from skeinwork.llm import media
 
