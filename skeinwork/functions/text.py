@@ -30,6 +30,7 @@ CONSONANTS = {
     "ک": "k", "ك": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ه": "h", "ة": "h", "و": "v", "ی": "y", "ي": "y", "ى": "y",
 }
 VOWEL_SIGNS = "اآأإعءؤئ"
+ALBUM_SUFFIXES = ("ها", "های")
 ALBUM_WORDS = ("album", "albums", "آلبوم", "آلبومها", "آلبومهای", "البوم", "البومها", "البومهای")
 
 _SPACE = r"(?U)[\s\x{FEFF}]+"
@@ -139,6 +140,12 @@ def title_core(title: Column) -> Column:
     return F.array_join(F.filter(_words(title_identity(title)), lambda x: ~x.isin(list(VARIANT_KINDS))), " ")
 
 
+def script_family(text: Column) -> Column:
+    """``persian`` or ``latin`` for letters of one script only, else ``mixed``."""
+    persian, latin = clean(text).rlike(r"[\x{0600}-\x{06FF}]"), clean(text).rlike("(?i)[a-z]")
+    return F.when(persian & ~latin, "persian").when(latin & ~persian, "latin").otherwise("mixed")
+
+
 def script(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{0600}-\x{06FF}]"), "arabic").when(text.rlike("(?i)[a-z]"), "latin").otherwise("")
 
@@ -155,21 +162,35 @@ def skeleton(token: Column) -> Column:
     return F.when(script(source) == "arabic", arabic).otherwise(latin)
 
 
-def cross_script_same(left: Column, right: Column) -> Column:
-    """Whether two names in different scripts have the same consonants, with a small edit distance allowed."""
-    a, b = _words(clean(left)), _words(clean(right))
+def bones(value: Column) -> Column:
+    """The consonants of each word of a name."""
+    return F.transform(_words(clean(value)), skeleton)
+
+
+def _close(x: Column, y: Column, one: int, two: int) -> Column:
+    """Equal, or one edit apart from ``one`` letters on, two from ``two`` on; blanks never are."""
+    longest = F.greatest(F.length(x), F.length(y))
+    allowed = F.when(longest >= two, 2).when(longest >= one, 1).otherwise(0)
+    return (x != "") & (y != "") & ((x == y) | ((allowed > 0) & (F.levenshtein(x, y) <= allowed)))
 
-    def near(x: Column, y: Column) -> Column:
-        return (x != "") & (y != "") & ((x == y) | ((F.greatest(F.length(x), F.length(y)) >= 4) & (F.levenshtein(x, y) <= 1)))
 
-    sa, sb = F.transform(a, skeleton), F.transform(b, skeleton)
-    each = F.forall(F.zip_with(sa, sb, near), lambda x: F.coalesce(x, F.lit(False)))
-    ja, jb = F.array_join(sa, ""), F.array_join(sb, "")
-    longest = F.greatest(F.length(ja), F.length(jb))
-    allowed = F.when(longest >= 9, 2).when(longest >= 6, 1).otherwise(0)
-    joined = (ja != "") & (jb != "") & ((ja == jb) | ((allowed > 0) & (F.levenshtein(ja, jb) <= allowed)))
+def same_bones(a: Column, b: Column) -> Column:
+    """Whether the words of two names have the same consonants: word by word, or joined if their numbers differ."""
+    each = F.forall(F.zip_with(a, b, lambda x, y: _close(x, y, 4, 1 << 30)), lambda x: F.coalesce(x, F.lit(False)))
+    joined = _close(F.array_join(a, ""), F.array_join(b, ""), 6, 9)
+    return (F.size(a) > 0) & (F.size(b) > 0) & F.when(F.size(a) == F.size(b), each).otherwise(joined)
+
+
+def near_bones(a: Column, b: Column) -> Column:
+    """``same_bones``, or two names of some words each that are as close when joined; for searching only."""
+    joined = _close(F.array_join(a, ""), F.array_join(b, ""), 7, 9)
+    return same_bones(a, b) | ((F.size(a) >= 2) & (F.size(b) >= 2) & joined)
+
+
+def cross_script_same(left: Column, right: Column) -> Column:
+    """Whether two names in different scripts have the same consonants, with a small edit distance allowed."""
     scripts = (script(left) != "") & (script(right) != "") & (script(left) != script(right))
-    return scripts & (F.size(a) > 0) & (F.size(b) > 0) & F.when(F.size(a) == F.size(b), each).otherwise(joined)
+    return scripts & same_bones(bones(left), bones(right))
 
 
 def titles_compatible(requested: Column, actual: Column) -> Column:
