@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from skeinwork.operators import matching
 from skeinwork.plans.base import Catalogue
-from skeinwork.runtime import shared_dir
 from skeinwork.streaming import events as ev
-from skeinwork.streaming import folds
+from skeinwork.streaming import folds, ordered, sinks
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -42,28 +39,99 @@ def rate_limit_fold(t):
     return matching.cooldown(t("events").select("user_id", "ts", "event_id"), "user_id", "ts", 3600)
 
 
-def latest_by_key_stream(spark, sf_dir):
-    """The newest event type of every user, from a stream of the events file."""
+def _stream(spark, sf_dir):
+    """The events of a file as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"latest_{uuid.uuid4().hex}"
-    return ev.drain(ev.latest(stream, "user_id", "ts", "event_type"), name, f"{shared_dir(spark)}/{name}")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-catalogue.queries["latest_by_key_stream"] = latest_by_key_stream
-catalogue.sql["latest_by_key_stream"] = catalogue.sql["latest_by_key"]
+def _live(name: str):
+    """Register a function of (spark, sf_dir) whose rows are those of the query ``name`` without "_stream"."""
 
+    def keep(f):
+        catalogue.queries[f.__name__] = f
+        catalogue.sql[f.__name__] = catalogue.sql[name]
+        return f
 
-def stream_dedup_bucket(spark, sf_dir):
-    """Distinct (type, user, bucket) of a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"bucket_{uuid.uuid4().hex}"
-    return ev.drain(ev.once_a_bucket(stream, ["event_type", "user_id"], "ts", 7200), name, f"{shared_dir(spark)}/{name}", "append")
+    return keep
 
 
-catalogue.queries["stream_dedup_bucket"] = stream_dedup_bucket
-catalogue.sql["stream_dedup_bucket"] = catalogue.sql["dedup_bucket"]
+@_live("latest_by_key")
+def latest_by_key_stream(spark, sf_dir):
+    """The newest event type of every user, upserted by a stream (T-03, S-13)."""
+    rows = _stream(spark, sf_dir).select("user_id", "ts", "event_type")
+    return sinks.drain_upserts(rows, "latest", ["user_id"], F.col("ts")).select("user_id", "event_type")
+
+
+@_live("dedup_bucket")
+def stream_dedup_bucket(spark, sf_dir):
+    """Distinct (type, user, bucket) of a stream: the table of those seen is the only state (T-08)."""
+    rows = _stream(spark, sf_dir).select("event_type", "user_id", ev.bucket("ts", 7200).alias("bucket_no"))
+    return sinks.drain_upserts(rows, "buckets", ["event_type", "user_id", "bucket_no"], F.lit(0)).withColumnRenamed("bucket_no", "bucket")
+
+
+#: Seconds of silence and in all that end a collection, and what a stream may be late.
+QUIET, TOTAL, LATE_S = 28800, 86400, 600
+
+_CLOSING = f"""WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS tm, event_id AS id, value > 60 AS hit FROM events
+  WHERE epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - {LATE_S} * 1000) * 1000 FROM events)),
+s AS (SELECT u, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS tm, CAST(0 AS BIGINT) AS number, CAST(NULL AS BIGINT) AS began, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS n,
+    CAST(NULL AS STRUCT(number BIGINT, began BIGINT, closed BIGINT, reason VARCHAR, n BIGINT, hit BIGINT)) AS gone, CAST(NULL AS STRUCT(number BIGINT, began BIGINT, closed BIGINT, reason VARCHAR, n BIGINT, hit BIGINT)) AS ended FROM (SELECT DISTINCT u FROM e)
+  UNION ALL SELECT u, k, tm, number + CAST(hit AS BIGINT), CASE WHEN NOT hit THEN began END, CASE WHEN NOT hit THEN tm END, CASE WHEN hit THEN 0 ELSE n END, gone,
+    CASE WHEN hit THEN {{'number': number, 'began': began, 'closed': tm, 'reason': 'target', 'n': n, 'hit': id}} END
+  FROM (SELECT u, k, tm, id, hit, number + CAST(over AS BIGINT) AS number, CASE WHEN over OR began IS NULL THEN tm ELSE began END AS began, CASE WHEN over THEN 1 ELSE n + 1 END AS n,
+      CASE WHEN over THEN {{'number': number, 'began': began, 'closed': due, 'reason': CASE WHEN last + {QUIET}000000 <= due THEN 'quiet' ELSE 'total' END, 'n': n, 'hit': NULL}} END AS gone
+    FROM (SELECT s.*, e.k AS k2, coalesce(least(s.began + {TOTAL}000000, s.last + {QUIET}000000) <= e.tm, false) AS over, least(s.began + {TOTAL}000000, s.last + {QUIET}000000) AS due, e.tm AS tm2, e.id, e.hit
+      FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1) x(u, k0, tm0, number, began, last, n, gone0, ended0, k, over, due, tm, id, hit))),
+z AS (SELECT u, number, began, least(began + {TOTAL}000000, last + {QUIET}000000) AS due, last, n FROM s WHERE began IS NOT NULL AND k = (SELECT max(k) FROM e WHERE e.u = s.u)),
+o AS (SELECT u, gone AS x FROM s WHERE gone IS NOT NULL UNION ALL SELECT u, ended FROM s WHERE ended IS NOT NULL
+  UNION ALL SELECT u, {{'number': number, 'began': began, 'closed': due, 'reason': CASE WHEN last + {QUIET}000000 <= due THEN 'quiet' ELSE 'total' END, 'n': n, 'hit': NULL}} FROM z
+  WHERE due <= (SELECT (max(epoch_us(ts)) // 1000 - {LATE_S} * 1000) * 1000 FROM events))
+SELECT u AS user_id, x.number, x.began, x.closed, x.reason, x.n, x.hit FROM o"""
+
+
+def _watermark(events) -> int:
+    last = events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return 0 if last is None else (last // 1000 - LATE_S * 1000) * 1000
+
+
+@query(_CLOSING)
+def collections(t):
+    """Collections of a user's events that have ended by the watermark: by a target, by silence or by total time (T-05, T-06)."""
+    e = t("events").withColumn("target", F.col("value") > 60)
+    return ordered.run(e, "user_id", "ts", ["event_id", "target"], ordered.Collector(QUIET, TOTAL), _watermark(e))
+
+
+@_live("collections")
+def collections_stream(spark, sf_dir):
+    """The same of a stream, ended by timers."""
+    e = _stream(spark, sf_dir).withColumn("target", F.col("value") > 60)
+    return sinks.drain(ordered.run_stream(e, "user_id", "ts", ["event_id", "target"], ordered.Collector(QUIET, TOTAL), f"{LATE_S} seconds"), "collections")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) AS tm, event_id AS id, value > 90 AS bad FROM events),
+s AS (SELECT u, k, tm, id, CASE WHEN bad THEN 'opened' ELSE 'passed' END AS said, CASE WHEN bad THEN tm + 86400000000 END AS until, CASE WHEN bad THEN id END AS by, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS BIGINT) AS closer FROM e WHERE k = 1
+  UNION ALL SELECT e.u, e.k, e.tm, e.id, CASE WHEN s.until > e.tm THEN 'skipped' WHEN bad THEN 'opened' ELSE 'passed' END, CASE WHEN s.until > e.tm THEN s.until WHEN bad THEN e.tm + 86400000000 END,
+    CASE WHEN s.until > e.tm THEN s.by WHEN bad THEN e.id END, CASE WHEN s.until <= e.tm THEN s.until END, CASE WHEN s.until <= e.tm THEN s.by END FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1)
+SELECT u AS user_id, tm AS "at", id, said FROM s UNION ALL SELECT u, closed, closer, 'closed' FROM s WHERE closed IS NOT NULL""")
+def circuit_timer(t):
+    """A user's events under a circuit that a timer closes a day after the failure that opened it (T-14)."""
+    e = t("events").withColumn("failed", F.col("value") > 90)
+    return ordered.run(e, "user_id", "ts", ["event_id", "failed"], ordered.Circuit(86400))
+
+
+@query("""WITH w AS (SELECT user_id, max(event_id) AS after, arg_max(CASE WHEN value > 20 THEN event_type END, event_id) AS revision FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1),
+h AS (SELECT user_id, event_id AS id, CASE WHEN value > 50 THEN event_type || '*' ELSE event_type END AS now, value > 60 AS target FROM events),
+b AS (SELECT w.user_id, id, target, id > after AS new, coalesce(id = after AND arg.revision IS NOT NULL AND now IS DISTINCT FROM arg.revision, false) AS edited FROM w LEFT JOIN h USING (user_id) LEFT JOIN (SELECT user_id, after AS a, CASE WHEN value > 20 THEN event_type END AS revision FROM w JOIN events e USING (user_id) WHERE e.event_id = after) arg ON arg.user_id = w.user_id)
+SELECT user_id, count(*) FILTER (WHERE new OR edited) AS n, min(id) FILTER (WHERE (new OR edited) AND target) AS hit, bool_or(edited) AS reopened FROM b GROUP BY user_id""")
+def late_reconcile(t):
+    """Histories read again after a collection has timed out: newer messages, and the boundary's own if it was edited (T-07)."""
+    e = t("events")
+    known = F.when(F.col("value") > 20, F.col("event_type"))
+    waits = e.filter(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).groupBy("user_id").agg(F.max("event_id").alias("after"), F.max_by(F.struct(known.alias("r")), "event_id").alias("x"))
+    now = F.when(F.col("value") > 50, F.concat("event_type", F.lit("*"))).otherwise(F.col("event_type"))
+    history = e.select("user_id", F.col("event_id").alias("id"), now.alias("revision"), (F.col("value") > 60).alias("target"))
+    return ordered.reconcile(waits.select("user_id", "after", F.col("x.r").alias("revision")), history, "user_id")
 
 
 @query()

@@ -5,7 +5,7 @@ The batch forms are what the streams must add up to when a bounded input has bee
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,20 +21,17 @@ def latest(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def bucket(ts: str, period_s: int) -> Column:
+    """The number of the period that a time lies in."""
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / period_s)
+
+
 def once_a_bucket(events: DataFrame, keys: list[str], ts: str, period_s: int) -> DataFrame:
     """One row per keys and time bucket (a streaming dedup when ``events`` is a stream)."""
-    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / period_s)
-    return events.select(*keys, bucket.alias("bucket")).dropDuplicates([*keys, "bucket"])
+    return events.select(*keys, bucket(ts, period_s).alias("bucket")).dropDuplicates([*keys, "bucket"])
 
 
 def newest_n(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The bounded buffer of a key: its newest ``n`` events with their places."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return events.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
-
-
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now, into a table of the session."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)

@@ -7,13 +7,14 @@ step, so a key of any size needs no more memory than a batch of rows; a stream k
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from skeinwork.streaming import ordered
+
 Step = Callable[[Any, float, Any], tuple[Any, str | None]]
 
 
@@ -74,9 +75,9 @@ def collector(quiet: float, total: float, done: Callable[[list], bool] = lambda
         number, began, last, held = state or (0, at, at, None)
         if held is None or at - last >= quiet or at - began >= total:
             number, began, held = number + (held is not None), at, []
-        held = [*held, value]
-        said = str(number)
-        return (number, began, at, None if done(held) else held) if not done(held) else (number + 1, at, at, None), said
+        held.append(value)
+        over = done(held)
+        return (number + over, began, at, None if over else held), str(number)
 
     return step
 
@@ -118,16 +119,23 @@ def fold(events: DataFrame, key: str, ts: str, value: str, step: Step, tie: str)
     return dealt.mapInPandas(run, f"{', '.join(f'`{n}` {t}' for n, t in dealt.dtypes)}, said string")
 
 
-def fold_stream(events: DataFrame, key: str, ts: str, value: str, step: Step, tie: str) -> DataFrame:
-    """The same on a stream, with each key's state kept between micro-batches."""
-    columns = events.columns
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in events.dtypes)}, said string"
+class Fold:
+    """A step as a machine of ``ordered``: of events (tie, value) it tells (tie, said)."""
+
+    def __init__(self, step: Step, tie: str, kind: str) -> None:
+        self.inner, self.schema = step, f"{tie} {kind}, said string"
+
+    def step(self, state: Any, at: int, row: tuple) -> tuple[Any, list[tuple]]:
+        state, said = self.inner(state, at / 1_000_000, row[1])
+        return state, [(row[0], said)]
+
+    def due(self, state: Any) -> None:
+        return None
+
+    def expire(self, state: Any, at: int) -> tuple[Any, list[tuple]]:
+        return state, []
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        now = pickle.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values([ts, tie], kind="stable")[columns]
-        now, said = _said(rows, ts, value, step, now)
-        state.update((pickle.dumps(now),))
-        yield rows.assign(said=said)
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout")
+def fold_stream(events: DataFrame, key: str, ts: str, value: str, step: Step, tie: str, late: str = "0 seconds") -> DataFrame:
+    """(key, tie, said) of a stream, in order of ``ts``, then ``tie``, whatever the order of arrival within ``late``."""
+    return ordered.run_stream(events, key, ts, [tie, value], Fold(step, tie, dict(events.dtypes)[tie]), late)
