@@ -79,7 +79,7 @@ def ordered_union(*lists: Column) -> Column:
 
 def message_fingerprint(number: Column, body: Column, buttons: Column, media: Column, edited: Column) -> Column:
     """A message's revision: its fields between record separators, its buttons between unit separators."""
-    fields = (F.coalesce(number, F.lit(0)).cast("string"), F.coalesce(body, F.lit("")), F.array_join(buttons, "\x1f"), F.coalesce(media, F.lit("none")), F.coalesce(edited, F.lit("")))
+    fields = (F.coalesce(number, F.lit(0)).cast("string"), F.coalesce(body, F.lit("")), F.array_join(F.transform(buttons, lambda x: F.coalesce(x, F.lit(""))), "\x1f"), F.coalesce(media, F.lit("none")), F.coalesce(edited, F.lit("")))
     return F.concat_ws("\x1e", *fields)
 
 
@@ -92,11 +92,3 @@ def needs_fallback(n_meaningful: Column, best_coverage: Column, consensus: Colum
     """Whether found rows are too far from the query: not all words covered, or a variant nobody asked for."""
     covered = F.coalesce(best_coverage, F.lit(0))
     return F.when(n_meaningful == 0, False).when(n_meaningful == 1, (covered < 1) & ~consensus).otherwise((covered < n_meaningful) | (unrequested > 0))
-
-
-def json_contains(document: Column, wanted: dict[str, object]) -> Column:
-    """Whether a JSON object has all fields of ``wanted`` with these values."""
-    out = F.lit(True)
-    for key, value in wanted.items():
-        out = out & (F.get_json_object(document, f"$.{key}") == F.lit(str(value)))
-    return F.coalesce(out, F.lit(False))

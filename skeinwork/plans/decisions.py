@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import decisions as d
-from skeinwork.functions import text
+from skeinwork.functions import documents, text
 from skeinwork.plans.base import Catalogue
 
 catalogue = Catalogue()
@@ -148,7 +150,68 @@ def cache_seeding(t):
 @query("SELECT event_id FROM events WHERE CAST(props->>'k' AS INT) = 10")
 def json_containment(t):
     """Events whose properties contain a given object (P-09)."""
-    return t("events").filter(d.json_contains(F.col("props"), {"k": 10})).select("event_id")
+    return t("events").filter(documents.contains(F.col("props"), {"k": 10})).select("event_id")
+
+
+#: What an event's document is asked for, and the same by paths and types.
+_WANTED = {
+    "is_true": ('{"big":true}', "json_type(doc, '$.big') = 'BOOLEAN' AND doc->>'$.big' = 'true'"),
+    "text_10": ('{"k":"10"}', "json_type(doc, '$.k') = 'VARCHAR' AND doc->>'$.k' = '10'"),
+    "number_10": ('{"k":10}', "json_type(doc, '$.k') IN ('UBIGINT', 'BIGINT') AND doc->>'$.k' = '10'"),
+    "nested": ('{"in":{"kind":"view"}}', "doc->>'$.in.kind' = 'view'"),
+    "items": ('{"tags":["click"]}', "list_contains(CAST(doc->'$.tags' AS VARCHAR[]), 'click')"),
+    "both": ('{"big":false,"in":{"kind":"error","none":null}}', "doc->>'$.big' = 'false' AND doc->>'$.in.kind' = 'error' AND json_type(doc, '$.in.none') = 'NULL'"),
+    "none": ('{"in":{"none":null}}', "json_type(doc, '$.in.none') = 'NULL'"),
+    "deep": ('{"rows":[{"big":true}]}', "doc->>'$.rows[0].big' = 'true'"),
+    "every": ("{}", "true"),
+}
+
+
+@query("WITH e AS (SELECT event_id, to_json({'k': CAST(props->>'k' AS BIGINT), 'big': value > 50, 'tags': [event_type, 'x'], 'rows': [{'big': value > 20}], 'in': {'kind': event_type, 'none': NULL}}) AS doc FROM events) SELECT event_id, "
+       + ", ".join(f"({x}) AS {n}" for n, (_, x) in _WANTED.items()) + " FROM e")
+def json_containment_typed(t):
+    """Containment of booleans, texts, numbers, nested objects, arrays and nulls (P-09, F-87)."""
+    doc = F.format_string(
+        '{"k":%s,"big":%s,"tags":["%s","x"],"rows":[{"big":%s}],"in":{"kind":"%s","none":null}}', F.get_json_object("props", "$.k"), (F.col("value") > 50).cast("string"), "event_type", (F.col("value") > 20).cast("string"), "event_type"
+    )
+    return t("events").select("event_id", doc.alias("doc")).select("event_id", *(documents.contains(F.col("doc"), json.loads(x)).alias(n) for n, (x, _) in _WANTED.items()))
+
+
+@query("""WITH e AS (SELECT event_id, event_type AS kind, CAST(props->>'k' AS BIGINT) AS k, user_id % 2 = 0 AS own, event_id % 2 = 0 AS same, value > 50 AS big FROM events)
+SELECT event_id, '{"k":' || CASE WHEN big THEN 'null' ELSE CAST(k + 1 AS VARCHAR) END || ',"kind":"' || kind || '","n":1,"rawText":"' || CASE WHEN own AND NOT same THEN 'old' ELSE 'new' END || '","source":"' || CASE WHEN own THEN 'live' WHEN same THEN 'live' ELSE 'web' END || '"}' AS merged,
+ CASE WHEN kind = 'click' THEN '{"k":' || k || ',"kind":"click"}' WHEN kind = 'view' THEN '{"id":' || k || '}' WHEN kind = 'error' THEN NULL ELSE '{"id":' || k || ',"result":0}' END AS record,
+ CASE WHEN big THEN '{"caps":{},"k":' || k || '}' ELSE '{"k":' || k || '}' END AS patched FROM e""")
+def json_documents(t):
+    """Documents of a preferred source merged with others', payloads unwrapped, a field replaced where there is one (F-82, F-83, F-88)."""
+    e = t("events").withColumn("k", F.get_json_object("props", "$.k"))
+    source = lambda c: F.when(c, "live").otherwise("web")
+    big = F.col("value") > 50
+    old = F.format_string('{"source":"%s","rawText":"old","k":%s,"kind":"%s"}', source(F.col("user_id") % 2 == 0), "k", "event_type")
+    new = F.format_string('{"rawText":"new","source":"%s","n":1,"k":%s}', source(F.col("event_id") % 2 == 0), F.when(big, "null").otherwise((F.col("k").cast("long") + 1).cast("string")))
+    payload = F.when(F.col("event_type") == "click", F.format_string('{"kind":"click","k":%s}', "k")).when(F.col("event_type") == "view", F.format_string('{"data":0,"result":[null,"",0,{"id":%s},1]}', "k"))
+    payload = payload.when(F.col("event_type") == "error", F.lit("[false, 0]")).otherwise(F.format_string('{"track":"x","data":{"result":0,"id":%s}}', "k"))
+    doc = F.when(big, F.format_string('{"k":%s,"caps":{"a":1}}', "k")).otherwise(F.format_string('{"k":%s}', "k"))
+    return e.select(
+        "event_id", documents.merged_provenance(old, new, "live").alias("merged"), documents.unwrapped(payload).alias("record"), documents.with_field(doc, "caps", F.lit("{}"), create=False).alias("patched")
+    )
+
+
+@query(f"""WITH p AS (SELECT p_brand, p_partkey, p_name || CASE WHEN p_size % 3 = 0 THEN ' !' ELSE '' END AS title, p_size AS n, p_retailprice > 920 AS verified, p_partkey % 2 = 0 AS known FROM part),
+k AS (SELECT *, {_NORM.format('title')} AS key FROM p),
+f AS (SELECT p_brand, count(*) % 2 = 0 AS is_full, count(*) FILTER (WHERE NOT known) AS seen FROM k GROUP BY 1),
+g AS (SELECT k.* FROM k JOIN f USING (p_brand) WHERE (seen = 0 AND known) OR (seen > 0 AND is_full AND NOT known AND verified) OR (seen > 0 AND NOT is_full AND (known OR verified))),
+o AS (SELECT p_brand, key, min((NOT known, p_partkey)) AS place, arg_max(title || ':' || n, (NOT known, p_partkey)) AS item FROM g JOIN f USING (p_brand) WHERE NOT is_full AND seen > 0 GROUP BY 1, 2
+  UNION ALL SELECT p_brand, key, (NOT known, p_partkey), title || ':' || n FROM g JOIN f USING (p_brand) WHERE is_full OR seen = 0)
+SELECT f.p_brand, coalesce(string_agg(item, '|' ORDER BY place), '') AS items FROM f LEFT JOIN o ON o.p_brand = f.p_brand GROUP BY f.p_brand""")
+def list_merge(t):
+    """Lists of a brand merged with what was seen of it: partly, in full, or not at all (M-17)."""
+    title = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " !").otherwise(""))
+    p = t("part").select("p_brand", "p_partkey", F.struct(title.alias("title"), F.col("p_size").alias("n"), (F.col("p_retailprice") > 920).alias("verified")).alias("item"), (F.col("p_partkey") % 2 == 0).alias("known"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("p_partkey", "item")))), lambda x: x["item"])
+    g = p.groupBy("p_brand").agg(listed(F.col("known")).alias("known"), listed(~F.col("known")).alias("seen"), (F.count(F.lit(1)) % 2 == 0).alias("full"))
+    seen = F.when(F.size("seen") > 0, F.col("seen"))
+    made = documents.merged_list(F.col("known"), seen, F.col("full"), lambda x: x["verified"])
+    return g.select("p_brand", F.array_join(F.transform(made, lambda x: F.concat_ws(":", x["title"], x["n"])), "|").alias("items"))
 
 
 @query("""SELECT l_orderkey, json_array_length(to_json(list(l_partkey))) AS n, json_type(to_json(list(l_partkey))) = 'ARRAY' AS is_array FROM lineitem GROUP BY l_orderkey""")
