@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,13 +213,18 @@ class Model(Part):
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of (text, lang) rows of ``labelled`` (with doc_id), at most about ``sample`` a language."""
-    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = runtime.materialize(known.groupBy("lang").count(), "languages")
+    """A model of (text, lang) rows of ``labelled`` (with doc_id), at most about ``sample`` a language.
+
+    Rows equal in doc_id and text are one text; rows of one doc_id, or without any, are drawn each for itself.
+    A fifth of a language's texts is kept out, so one with fewer than five has all in the model.
+    """
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").alias("row"))
+    sizes = runtime.materialize(known.select("lang", "row").distinct().groupBy("lang").count(), "languages")
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
-    share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = known.join(sizes, "lang").filter(share < F.lit(float(sample)) / F.col("count"))
-    drawn = drawn.withColumn("kept_out", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0)
+    share = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = known.join(sizes, "lang").filter(share < F.lit(float(sample)) / F.col("count")).dropDuplicates(["lang", "row"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("row", F.lit(8)), "row"))  # about ``sample`` rows a language
+    drawn = runtime.materialize(drawn.select("text", "lang", (place % 5 == 0).alias("kept_out")), "drawn")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}

@@ -213,3 +213,16 @@ def test_cuts_follow_the_content():
     moved = b"some bytes more" + data
     assert len(set(media._chunks(moved, media.cuts([moved])[0])) & set(media._chunks(data, one))) > 0.9 * len(one)
     assert media.cuts([data, b"", moved]) == [one, [], media.cuts([moved])[0]]
+
+
+def test_languages_of_repeated_ids_and_texts_are_learnt(spark):
+    from skeinwork.llm import langid
+
+    rng = random.Random(9)
+    words = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(30))
+    rows = [(7, words("abcde"), "p") for _ in range(400)] + [(8, "vwxyz zyxwv " * 20, "q")] * 300 + [(None, words("klmno"), "r") for _ in range(300)] + [(9, words("fghij"), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=50)
+    assert {*model.languages} == {"p", "q", "r", "s"}
+    told = langid.predict(docs, model).groupBy("lang", "lang_pred").count().collect()
+    assert all(r.lang == r.lang_pred for r in told)
