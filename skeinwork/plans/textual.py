@@ -1,4 +1,4 @@
-"""Text, number, time and JSON functions over documents, parts, events and fixed examples."""
+"""Text, number, time and JSON functions over documents, parts, lines and events."""
 
 from __future__ import annotations
 
@@ -11,16 +11,6 @@ catalogue = Catalogue()
 query = catalogue.query
 
 
-def _values(t, rows: list[tuple], names: str):
-    """A table of fixed examples."""
-    return t("region").sparkSession.createDataFrame(rows, names)
-
-
-def _sql_values(rows: list[tuple], names: str) -> str:
-    cell = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
-
-
 _FOLD = f"translate(lower(trim(regexp_replace(regexp_replace({{0}}, '[\\u200E\\u200F\\u202A-\\u202E]', '', 'g'), '[\\s\\x{{{{A0}}}}\\x{{{{FEFF}}}}]+', ' ', 'g'))), '{text.PERSIAN_DIGITS}{text.ARABIC_DIGITS}يىكة', '01234567890123456789ییکه')"
 _NORM = "trim(regexp_replace(regexp_replace(" + _FOLD.format("{0}").replace("{{", "{").replace("}}", "}") + ", '[\\x{064B}-\\x{065F}\\x{0670}]', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
 _NORM = _NORM.replace("\\u200E\\u200F\\u202A-\\u202E", "\\x{200E}\\x{200F}\\x{202A}-\\x{202E}")
@@ -30,7 +20,17 @@ def _norm_sql(c: str) -> str:
     return _NORM.replace("{0}", c)
 
 
-_NAMES = [("بهرام ۲۴ ساعت",), ("علي كريمي",), ("آلبوم‌های  شایع",), ("25 Band - Delam!",), ("‎Reza Bahram‬",), ("",), ("مُحَمَّد",)]
+#: Letters of names that have one counterpart each in the other script, which has no vowels to write.
+_LATIN, _PERSIAN = "btjdrzsfkglmnh", "بتجدرزسفکگلمنه"
+
+#: A part beside the next one.
+_NEXT = "part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+
+
+def _with_next(t, *columns: str):
+    """Parts with the given columns of the next part as ``n_...``."""
+    p = t("part")
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), *(F.col(c).alias(f"n{c[1:]}") for c in columns)), "p_partkey")
 
 
 @query(f"SELECT doc_id, md5({_norm_sql('text')}) AS h FROM documents")
@@ -38,23 +38,27 @@ def normalize_text(t):
     return t("documents").select("doc_id", F.md5(text.norm(F.col("text"))).alias("h"))
 
 
-@query(f"SELECT s, {_norm_sql('s')} AS n FROM {_sql_values(_NAMES, 's')}")
+@query(f"WITH s AS (SELECT p_partkey, chr(8206) || ' ' || upper(p_brand) || '  كي ' || translate(CAST(p_size AS VARCHAR), '0123456789', '{text.PERSIAN_DIGITS}') || ' مُ-' || p_name AS s FROM part) SELECT p_partkey, {_norm_sql('s')} AS n FROM s")
 def normalize_names(t):
-    return _values(t, _NAMES, "s string").select("s", text.norm(F.col("s")).alias("n"))
+    """Names with marks, Arabic letters, Persian digits and punctuation (F-01 to F-03)."""
+    s = F.concat(F.lit("\u200e "), F.upper("p_brand"), F.lit("  كي "), F.translate(F.col("p_size").cast("string"), text.ASCII_DIGITS, text.PERSIAN_DIGITS), F.lit(" مُ-"), "p_name")
+    return t("part").select("p_partkey", text.norm(s).alias("n"))
 
 
-@query(f"SELECT s, translate(s, '{text.PERSIAN_DIGITS}{text.ARABIC_DIGITS}', '01234567890123456789') AS d FROM {_sql_values(_NAMES, 's')}")
+@query("SELECT p_partkey, p_partkey || '/' || p_size AS d FROM part")
 def digits_fold(t):
-    return _values(t, _NAMES, "s string").select("s", text.fold_digits(F.col("s")).alias("d"))
+    s = F.concat(F.translate(F.col("p_partkey").cast("string"), text.ASCII_DIGITS, text.PERSIAN_DIGITS), F.lit("/"), F.translate(F.col("p_size").cast("string"), text.ASCII_DIGITS, text.ARABIC_DIGITS))
+    return t("part").select("p_partkey", text.fold_digits(s).alias("d"))
 
 
-_METRICS = [("🎵 Shadmehr, Taghdir x 1.6M", "1.6M", 1600000), ("Moein, Kabeh x 250k", "250k", 250000), ("A, B x <250", "<250", None), ("A, B x 654.…", "654…", None), ("Song without", None, None), ("X x 12", "12", 12)]
-
-
-@query(f"SELECT s, raw, n FROM {_sql_values(_METRICS, 's, raw, n')}")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size || '.5k' WHEN 1 THEN p_size || 'M' WHEN 2 THEN '<' || p_size END AS raw,
+ CASE p_size % 4 WHEN 0 THEN p_size * 1000 + 500 WHEN 1 THEN p_size * 1000000 END AS n FROM part""")
 def metric_suffix_parse(t):
-    v = _values(t, [(r[0],) for r in _METRICS], "s string")
-    return v.select("s", text.popularity_text(F.col("s")).alias("raw"), text.popularity(F.col("s")).alias("n"))
+    """Popularity at the end of listing rows: exact, a bound, or none (F-43)."""
+    kind, size = F.col("p_size") % 4, F.col("p_size").cast("string")
+    end = F.when(kind == 0, F.concat(F.lit(" x "), size, F.lit(".5k"))).when(kind == 1, F.concat(F.lit(" x "), size, F.lit("M"))).when(kind == 2, F.concat(F.lit(" x <"), size)).otherwise("")
+    row = F.concat(F.lit("🎵 "), "p_brand", F.lit(", "), "p_name", end)
+    return t("part").select("p_partkey", text.popularity_text(row).alias("raw"), text.popularity(row).alias("n"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey % 60 AS INT) * 60 + CAST(o_orderkey % 59 AS INT) AS seconds, printf('%d:%02d', CAST(o_orderkey % 60 AS INT), CAST(o_orderkey % 59 AS INT)) AS back FROM orders")
@@ -64,60 +68,58 @@ def duration_parse(t):
     return o.select("*", text.duration_text(F.col("seconds")).alias("back"))
 
 
-_CREDITS = [("Drake & Yeat", "drake|yeat"), ("Shayea, Ma x T-Dey", "shayea|ma|t dey"), ("A feat. B", "a|b"), ("Solo", "solo"), ("Daft Punk", "da|punk"), ("", "")]
-
-
-@query(f"SELECT s, parts FROM {_sql_values(_CREDITS, 's, parts')}")
+@query(f"SELECT a.p_partkey, {_norm_sql('a.p_brand')} || '|' || {_norm_sql('a.p_type')} || '|' || {_norm_sql('b.p_brand')} AS parts FROM {_NEXT}")
 def credit_split(t):
-    return _values(t, [(r[0],) for r in _CREDITS], "s string").select("s", F.array_join(text.credit_parts(F.col("s")), "|").alias("parts"))
-
-
-_TITLES = [
-    ("Love (feat. Reza & Ali)", "Reza & Ali", "love", "love", ""), ("Party Remix", "", "party remix", "party", "remix"), ("Delam live acoustic", "", "delam live acoustic", "delam", "acoustic|live"),
-    ("آهنگ ریمیکس", "", "آهنگ ریمیکس", "آهنگ", "remix"), ("Song ft. X", "X", "song", "song", ""),
-]
+    """Members of a credit, by each kind of joint (F-08)."""
+    joint = F.when(F.col("p_size") % 2 == 0, " & ").otherwise(", ")
+    credit = F.concat("p_brand", joint, "p_type", F.lit(" Feat. "), "n_brand")
+    return _with_next(t, "p_brand").select("p_partkey", F.array_join(text.credit_parts(credit), "|").alias("parts"))
 
 
-@query(f"SELECT s, featured, identity, core, kinds FROM {_sql_values(_TITLES, 's, featured, identity, core, kinds')}")
+@query("""SELECT a.p_partkey, b.p_brand || ' & ' || b.p_type AS featured, lower(a.p_name) || CASE WHEN a.p_size % 3 = 0 THEN ' remix' WHEN a.p_size % 3 = 1 THEN ' live acoustic' ELSE '' END AS identity, lower(a.p_name) AS core,
+ CASE WHEN a.p_size % 3 = 0 THEN 'remix' WHEN a.p_size % 3 = 1 THEN 'acoustic|live' ELSE '' END AS kinds FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def title_parts(t):
-    s = F.col("s")
-    return _values(t, [(r[0],) for r in _TITLES], "s string").select(
-        "s", F.array_join(text.featured_credits(s), "|").alias("featured"), text.title_identity(s).alias("identity"), text.title_core(s).alias("core"), F.array_join(text.variant_kinds(s), "|").alias("kinds")
+    """What a title says besides its name: guests and versions (F-09, F-11)."""
+    version = F.when(F.col("p_size") % 3 == 0, " Remix").when(F.col("p_size") % 3 == 1, " Live Acoustic").otherwise("")
+    s = F.concat(F.initcap("p_name"), version, F.lit(" (feat. "), "n_brand", F.lit(" & "), "n_type", F.lit(")"))
+    return _with_next(t, "p_brand", "p_type").select(
+        "p_partkey", F.array_join(text.featured_credits(s), "|").alias("featured"), text.title_identity(s).alias("identity"), text.title_core(s).alias("core"), F.array_join(text.variant_kinds(s), "|").alias("kinds")
     )
 
 
-_PAIRS = [("رضا بهرام", "Reza Bahram", True), ("یاس", "Ali Sorena", False), ("محمدرضا", "Mohammad Reza", True), ("Reza", "Reza", False), ("مریم", "Maryam", True), ("", "x", False)]
-
-
-@query(f"SELECT a, b, same FROM {_sql_values(_PAIRS, 'a, b, same')}")
+@query(f"""WITH s AS (SELECT a.p_partkey, list_transform(string_split(a.p_name, ' '), lambda x: regexp_replace(lower(x), '[aeiou]+', '', 'g')) AS l,
+  list_transform(string_split(b.p_name, ' '), lambda x: regexp_replace(lower(x), '[^{_LATIN}]+', '', 'g')) AS r FROM {_NEXT})
+SELECT p_partkey, len(list_filter(list_zip(l, r), lambda z: z[1] <> '' AND z[2] <> '' AND (z[1] = z[2] OR (greatest(length(z[1]), length(z[2])) >= 4 AND levenshtein(z[1], z[2]) <= 1)))) = len(l) AS same FROM s""")
 def levenshtein_skeleton(t):
-    return _values(t, [r[:2] for r in _PAIRS], "a string, b string").select("a", "b", text.cross_script_same(F.col("a"), F.col("b")).alias("same"))
-
+    """A name and the next one's in the other script: the same consonants, an edit in a long word apart (F-12 to F-14, R-05)."""
+    persian = F.translate(F.regexp_replace(F.lower("n_name"), f"[^{_LATIN} ]", ""), _LATIN, _PERSIAN)
+    return _with_next(t, "p_name").select("p_partkey", text.cross_script_same(F.col("p_name"), persian).alias("same"))
 
-_COMPATIBLE = [("25 Band", "25Band", True), ("Drake & Yeat", "Yeat, Drake", True), ("Ali Sorena", "Ali Sorena Tribute", False), ("Drake", "Drake & Yeat", False), ("", "x", False)]
 
-
-@query(f"SELECT a, b, same FROM {_sql_values(_COMPATIBLE, 'a, b, same')}")
+@query(f"""SELECT a.p_partkey, (a.p_brand = b.p_brand AND a.p_type = b.p_type) OR (a.p_brand = b.p_type AND a.p_type = b.p_brand) AS same, a.p_brand = b.p_brand AS spaced FROM {_NEXT}""")
 def credit_compatibility(t):
-    return _values(t, [r[:2] for r in _COMPATIBLE], "a string, b string").select("a", "b", text.credits_compatible(F.col("a"), F.col("b")).alias("same"))
-
-
-_SAME_TITLES = [("Love", "Love Story", False), ("مریم", "Maryam", True), ("Party", "Party Remix", False), ("Song (feat. A)", "song", True)]
+    """Credits of two members each in another order, and names with and without blanks (R-02)."""
+    left, right = F.concat_ws(" & ", "p_brand", "p_type"), F.concat_ws(", ", "n_type", "n_brand")
+    spaced = text.credits_compatible(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.replace("n_brand", F.lit("#"), F.lit("")))
+    return _with_next(t, "p_brand", "p_type").select("p_partkey", text.credits_compatible(left, right).alias("same"), spaced.alias("spaced"))
 
 
-@query(f"SELECT a, b, same FROM {_sql_values(_SAME_TITLES, 'a, b, same')}")
+@query(f"""SELECT a.p_partkey, a.p_name = b.p_name AND (a.p_size % 2 = 0) = (b.p_size % 2 = 0) AS same FROM {_NEXT}""")
 def title_compatibility(t):
-    return _values(t, [r[:2] for r in _SAME_TITLES], "a string, b string").select("a", "b", text.titles_compatible(F.col("a"), F.col("b")).alias("same"))
+    """Titles of one name and the same versions, guests aside (R-06)."""
+    left = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, " remix").otherwise(""))
+    right = F.concat(F.upper("n_name"), F.when(F.col("n_size") % 2 == 0, " Remix").otherwise(""), F.lit(" (ft. "), "p_brand", F.lit(")"))
+    return _with_next(t, "p_name", "p_size").select("p_partkey", text.titles_compatible(left, right).alias("same"))
 
 
-_STRINGS = [("enrich:artist|title", "https://h/mp3-320/x.mp3", "FLOOD_WAIT_17", "Artist – Title", "artist|title", 320, 17, "Artist", "Title"), ("plain", "https://h/x", "timeout", "no dash", "plain", None, None, None, None)]
-
-
-@query(f"SELECT k, rest, rate, wait, artist, title FROM {_sql_values([(r[0], r[4], r[5], r[6], r[7], r[8]) for r in _STRINGS], 'k, rest, rate, wait, artist, title')}")
+@query("""SELECT p_partkey, p_brand || '|' || p_name AS rest, CASE WHEN p_size >= 10 THEN CAST(left(CAST(p_size * 10 AS VARCHAR), 3) AS INT) END AS rate, p_size AS wait,
+ CASE WHEN p_size % 2 = 0 THEN p_brand END AS artist, CASE WHEN p_size % 2 = 0 THEN p_name END AS title FROM part""")
 def string_pack(t):
-    artist, title = text.artist_and_title(F.col("s"))
-    v = _values(t, [r[:4] for r in _STRINGS], "k string, u string, e string, s string")
-    return v.select("k", text.after_colon(F.col("k")).alias("rest"), text.url_bitrate(F.col("u")).alias("rate"), text.flood_wait(F.col("e")).alias("wait"), artist.alias("artist"), title.alias("title"))
+    """Keys after a colon, rates in addresses, waits in errors, and the sides of a dash (F-20, F-21, F-26, F-27)."""
+    size = F.col("p_size").cast("string")
+    key, url, error = F.concat(F.lit("enrich:"), "p_brand", F.lit("|"), "p_name"), F.concat(F.lit("https://h/"), F.when(F.col("p_size") >= 10, "mp3-").otherwise("ogg-"), size, F.lit("0/x.mp3")), F.concat(F.lit("FLOOD_WAIT_"), size)
+    artist, title = text.artist_and_title(F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, " – ").otherwise(" "), "p_name"))
+    return t("part").select("p_partkey", text.after_colon(key).alias("rest"), text.url_bitrate(url).alias("rate"), text.flood_wait(error).alias("wait"), artist.alias("artist"), title.alias("title"))
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'BRASS') THEN 'brass' WHEN regexp_matches(p_type, '^(SMALL|MEDIUM)') THEN 'compact' ELSE 'other' END AS label,
@@ -190,13 +192,16 @@ def surface_parse_pages(t):
     return t("pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"))
 
 
-_BLOCK = "🎯 2. Second\n🕒 03:10\n💾 7.2 MB\n📀 320\n/dl_b\n\n🎯 1. First\n🕒 01:05\n/dl_a\n"
-
-
-@query(f"SELECT rank, title, cmd, seconds FROM {_sql_values([(1, 'First', 'dl_a', 65), (2, 'Second', 'dl_b', 190)], 'rank, title, cmd, seconds')}")
+@query("""SELECT l_orderkey, l_linenumber AS rank, 'Part ' || l_partkey AS title, 'dl_' || l_suppkey AS cmd, CAST(l_quantity AS INT) * 61 AS seconds FROM lineitem""")
 def surface_parse_block(t):
-    """Ranked blocks of a message, in the order of their ranks."""
-    blocks = F.explode(F.split(F.lit(_BLOCK), "(?=🎯)")).alias("b")
-    v = t("region").limit(1).select(blocks).filter(F.trim("b") != "")
+    """Ranked blocks of a message with all lines of an order, read back (Z-07)."""
+    seconds = F.col("l_quantity").cast("int") * 61
+    block = F.concat(
+        F.lit("🎯 "), F.col("l_linenumber").cast("string"), F.lit(". Part "), F.col("l_partkey").cast("string"), F.lit("\n🕒 "), text.duration_text(seconds), F.lit("\n💾 7.2 MB\n📀 320\n/dl_"), F.col("l_suppkey").cast("string"), F.lit("\n\n")
+    )
+    messages = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(block), asc=False), "").alias("body"))
+    v = messages.select("l_orderkey", F.explode(F.split("body", "(?=🎯)")).alias("b")).filter(F.trim("b") != "")
     one = lambda pattern: F.regexp_extract("b", pattern, 1)
-    return v.select(one(r"🎯\s*(\d+)").cast("int").alias("rank"), F.trim(one(r"🎯\s*\d+\.\s*([^\n]+)")).alias("title"), one(r"/(dl_\w+)").alias("cmd"), text.duration_seconds(one(r"🕒\s*([\d:]+)")).cast("int").alias("seconds"))
+    return v.select(
+        "l_orderkey", one(r"🎯\s*(\d+)").cast("int").alias("rank"), F.trim(one(r"🎯\s*\d+\.\s*([^\n]+)")).alias("title"), one(r"/(dl_\w+)").alias("cmd"), text.duration_seconds(one(r"🕒\s*([\d:]+)")).cast("int").alias("seconds")
+    )

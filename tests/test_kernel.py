@@ -99,3 +99,21 @@ def test_decisions(spark):
     rows = [(200, "image/png", 5), (None, None, None), (204, "", 10**9), (500, "x", 1)]
     made = [tuple(r.m) for r in spark.createDataFrame(rows, "s int, t string, n long").select(d.http_meta(c("s"), c("t"), c("n")).alias("m")).collect()]
     assert made == [(True, None, "image/png", True), (False, "HTTP unknown", None, None), (False, "file too large: 1000000000", None, None), (False, "HTTP 500", None, None)]
+
+
+def test_cases_of_names_and_titles(spark):
+    """Cases in both scripts that no table holds."""
+    cases = [
+        (text.norm, "بهرام ۲۴ ساعت", "بهرام 24 ساعت"), (text.norm, "علي كريمي", "علی کریمی"), (text.norm, "آلبوم‌های  شایع", "آلبوم های شایع"), (text.norm, "25 Band - Delam!", "25 band delam"), (text.norm, "مُحَمَّد", "محمد"),
+        (text.popularity, "🎵 Shadmehr, Taghdir x 1.6M", 1600000), (text.popularity, "Moein, Kabeh x 250k", 250000), (text.popularity, "A, B x <250", None), (text.popularity, "A, B x 654.…", None), (text.popularity_text, "A, B x 654.…", "654…"),
+        (text.popularity, "Song without", None), (text.credit_parts, "Shayea, Ma x T-Dey", ["shayea", "ma", "t dey"]), (text.credit_parts, "Daft Punk", ["da", "punk"]), (text.credit_parts, "", []),
+        (text.title_core, "آهنگ ریمیکس", "آهنگ"), (text.variant_kinds, "Delam live acoustic", ["acoustic", "live"]), (text.featured_credits, "Love (feat. Reza & Ali)", ["Reza & Ali"]), (text.script_family, "abc علی", "mixed"),
+    ]
+    pairs = [
+        (text.cross_script_same, "رضا بهرام", "Reza Bahram", True), (text.cross_script_same, "یاس", "Ali Sorena", False), (text.cross_script_same, "محمدرضا", "Mohammad Reza", True), (text.cross_script_same, "Reza", "Reza", False),
+        (text.credits_compatible, "25 Band", "25Band", True), (text.credits_compatible, "Drake & Yeat", "Yeat, Drake", True), (text.credits_compatible, "Ali Sorena", "Ali Sorena Tribute", False), (text.credits_compatible, "Drake", "Drake & Yeat", False),
+        (text.titles_compatible, "Love", "Love Story", False), (text.titles_compatible, "مریم", "Maryam", True), (text.titles_compatible, "Party", "Party Remix", False), (text.titles_compatible, "Song (feat. A)", "song", True),
+    ]
+    made = [f(F.lit(a)).alias(f"c{i}") for i, (f, a, _) in enumerate(cases)] + [f(F.lit(a), F.lit(b)).alias(f"p{i}") for i, (f, a, b, _) in enumerate(pairs)]
+    got, want = list(spark.range(1).select(*made).first()), [c[-1] for c in cases + pairs]
+    assert [(c, g) for c, g, w in zip(cases + pairs, got, want) if g != w] == []
