@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.functions import text
+from skeinwork.runtime import materialize
+
 
 def top(rows: DataFrame, keys: list[str], n: int, *order: Column, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in ``order``; ``rank`` names a column for the place."""
@@ -86,6 +89,47 @@ def match_greedily(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
     return dealt.mapInPandas(run, f"{group} {kind}, l_ord long, r_ord long")
 
 
+def match_by_score(left: DataFrame, right: DataFrame, group: str, levels: list[tuple[int, Column, Column]]) -> DataFrame:
+    """One-to-one pairs (group, l_ord, r_ord, score) within each group, greedily by score, then by the ordinals of both sides.
+
+    ``left`` has group, l_ord and columns of its own, ``right`` group, r_ord and others; ordinals are unique in a group.  A level (score,
+    key of a left row, key of a right row) pairs rows of equal keys; null keys take no part.  Within a level the k-th
+    free left row of a key takes the k-th free right one, which is what going through all pairs in order
+    would do; so a level is two windows and a join by group and key, and no group sits in one task.
+    """
+    levels, found = sorted(levels, key=lambda x: -x[0]), None
+    # keys are worked out once; a level reads its own column
+    keyed = [(materialize(rows.select(group, ordinal, *(x[at].alias(f"_k{k}") for k, x in enumerate(levels))), "keys"), ordinal) for rows, ordinal, at in ((left, "l_ord", 1), (right, "r_ord", 2))]
+    for k, (score, _, _) in enumerate(levels):
+        sides = []
+        for rows, ordinal in keyed:
+            free = rows.select(group, ordinal, F.col(f"_k{k}").alias("_key")).filter("_key is not null")
+            if found is not None:
+                free = free.join(found.select(group, ordinal), [group, ordinal], "left_anti")
+            sides.append(free.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_key").orderBy(ordinal))))
+        pairs = sides[0].join(sides[1], [group, "_key", "_place"]).select(group, "l_ord", "r_ord", F.lit(score).alias("score"))
+        pairs = materialize(pairs, f"level-{k}")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def track_levels(l_artist: Column, l_title: Column, r_artist: Column, r_title: Column) -> list[tuple[int, Column, Column]]:
+    """Levels for tracks and files: 8 points for a title, 5 for one that is the same but for its writing; 4 for an artist, 2 for
+    the same members, none where one side names no artist; other artists contradict."""
+    blank = lambda c: F.coalesce(text.norm(c), F.lit("")) == ""
+    filled = lambda c: F.when(~blank(c), text.norm(c))
+    members = lambda c: F.when(~blank(c), F.array_join(F.array_sort(F.array_distinct(F.transform(text.credit_parts(c), text.compact))), "|"))
+    same = lambda c: F.when(text.title_core(c) != "", F.concat_ws("|", text.title_core(c), F.array_join(text.variant_kinds(c), " ")))
+    both = lambda *c: F.when(F.forall(F.array(*c), lambda x: x.isNotNull()), F.to_json(F.array(*c)))
+    out = []
+    for points, title in ((8, filled), (5, same)):
+        for more, artist in ((4, filled), (2, members)):
+            out.append((points + more, both(title(l_title), artist(l_artist)), both(title(r_title), artist(r_artist))))
+        out.append((points, F.when(blank(l_artist), title(l_title)), title(r_title)))
+        out.append((points, title(l_title), F.when(blank(r_artist), title(r_title))))
+    return out
+
+
 def cooldown(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Events accepted when at least ``seconds`` after the key's last accepted one (a sequential fold).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import aliases
+from skeinwork.operators import aliases, matching
 from skeinwork.plans.base import Catalogue
 
 catalogue = Catalogue()
@@ -38,3 +38,27 @@ def alias_learning(t):
     title = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " Remix").otherwise(""))
     cached = p.select(key.alias("track_key"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")).alias("performer"), title.alias("title"), F.col("p_size").alias("at"))
     return aliases.learn(p.select(F.col("p_brand").alias("artist"), F.col("p_name").alias("title")), cached)
+
+
+def _levels_sql(levels: list[tuple[int, str, str]]) -> str:
+    """Level after level: rows that no level before has paired, by the places of their keys."""
+    parts, taken = [], ""
+    for k, (score, left, right) in enumerate(levels):
+        side = lambda table, key, o: f"SELECT g, ord AS {o}, {key} AS k, row_number() OVER (PARTITION BY g, {key} ORDER BY ord) AS n FROM {table} x WHERE {key} IS NOT NULL" + (f" AND (g, ord) NOT IN (SELECT g, {o} FROM ({taken}))" if taken else "")
+        parts.append(f"m{k} AS MATERIALIZED (SELECT g, l_ord, r_ord, {score} AS score FROM ({side('l', left, 'l_ord')}) JOIN ({side('r', right, 'r_ord')}) USING (g, k, n))")
+        taken += f"{' UNION ALL ' if taken else ''}SELECT g, l_ord, r_ord, score FROM m{k}"
+    return ", ".join(parts) + " " + taken
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_linenumber, arg_min(l_partkey, (l_partkey, l_suppkey, l_extendedprice)) AS k FROM lineitem GROUP BY 1, 2),
+j AS (SELECT l_orderkey, l_linenumber AS ord, p_name AS t, lower(p_brand) AS a, p_size FROM i JOIN part ON p_partkey = k),
+l AS MATERIALIZED (SELECT l_orderkey AS g, ord, t, CASE WHEN p_size % 4 > 0 THEN a END AS a FROM j), r AS MATERIALIZED (SELECT l_orderkey - 1 AS g, ord, t, CASE WHEN p_size % 3 > 0 THEN a END AS a FROM j), """
+       + _levels_sql([(12, "t || a", "t || a"), (8, "CASE WHEN a IS NULL THEN t END", "t"), (8, "t", "CASE WHEN a IS NULL THEN t END")]))
+def match_by_score(t):
+    """Lines of an order against those of the next: by name and brand, then by name where one side has no brand (J-15)."""
+    one = matching.first_of(t("lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice"))
+    lines = one.join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    left = lines.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("l_ord"), F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("artist"), F.col("p_name").alias("title"))
+    right = lines.select((F.col("l_orderkey") - 1).alias("g"), F.col("l_linenumber").alias("r_ord"), F.when(F.col("p_size") % 3 > 0, F.upper("p_brand")).alias("artist"), F.upper("p_name").alias("title"))
+    levels = matching.track_levels(F.col("artist"), F.col("title"), F.col("artist"), F.col("title"))
+    return matching.match_by_score(left, right, "g", levels)
