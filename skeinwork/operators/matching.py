@@ -113,20 +113,25 @@ def match_by_score(left: DataFrame, right: DataFrame, group: str, levels: list[t
     return found
 
 
-def track_levels(l_artist: Column, l_title: Column, r_artist: Column, r_title: Column) -> list[tuple[int, Column, Column]]:
-    """Levels for tracks and files: 8 points for a title, 5 for one that is the same but for its writing; 4 for an artist, 2 for
-    the same members, none where one side names no artist; other artists contradict."""
-    blank = lambda c: F.coalesce(text.norm(c), F.lit("")) == ""
-    filled = lambda c: F.when(~blank(c), text.norm(c))
-    members = lambda c: F.when(~blank(c), F.array_join(F.array_sort(F.array_distinct(F.transform(text.credit_parts(c), text.compact))), "|"))
-    same = lambda c: F.when(text.title_core(c) != "", F.concat_ws("|", text.title_core(c), F.array_join(text.variant_kinds(c), " ")))
-    both = lambda *c: F.when(F.forall(F.array(*c), lambda x: x.isNotNull()), F.to_json(F.array(*c)))
+def with_track_keys(rows: DataFrame, artist: str, title: str) -> DataFrame:
+    """``rows`` with what ``track_levels`` compares: artist, members of the credit, title, and title but for its writing; blanks are null."""
+    names = F.when(text.norm(F.col(artist)) != "", text.norm(F.col(artist)))
+    made = rows.withColumn("_artist", names).withColumn("_title", F.when(text.norm(F.col(title)) != "", text.norm(F.col(title))))
+    parts = F.array_sort(F.array_distinct(F.transform(text.credit_parts(F.col(artist)), text.compact)))
+    made = made.withColumn("_members", F.when(F.col("_artist").isNotNull(), F.array_join(parts, "|"))).withColumn("_core", F.nullif(text.title_core(F.col(title)), F.lit("")))
+    return made.withColumn("_same", F.when(F.col("_core").isNotNull(), F.concat_ws("|", "_core", F.array_join(text.variant_kinds(F.col(title)), " "))))
+
+
+def track_levels() -> list[tuple[int, Column, Column]]:
+    """Levels for rows of ``with_track_keys``: 8 points for a title, 5 for one that is the same but for its writing; 4 for an artist, 2
+    for the same members, none where one side names no artist; other artists contradict."""
+    both = lambda *c: F.when(F.col(c[0]).isNotNull() & F.col(c[1]).isNotNull(), F.concat_ws("\x1f", *c))
     out = []
-    for points, title in ((8, filled), (5, same)):
-        for more, artist in ((4, filled), (2, members)):
-            out.append((points + more, both(title(l_title), artist(l_artist)), both(title(r_title), artist(r_artist))))
-        out.append((points, F.when(blank(l_artist), title(l_title)), title(r_title)))
-        out.append((points, title(l_title), F.when(blank(r_artist), title(r_title))))
+    for points, title in ((8, "_title"), (5, "_same")):
+        for more, artist in ((4, "_artist"), (2, "_members")):
+            out.append((points + more, both(title, artist), both(title, artist)))
+        without = F.when(F.col("_artist").isNull(), F.col(title))
+        out += [(points, without, F.col(title)), (points, F.col(title), without)]
     return out
 
 

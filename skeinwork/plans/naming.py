@@ -60,5 +60,5 @@ def match_by_score(t):
     lines = one.join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
     left = lines.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("l_ord"), F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("artist"), F.col("p_name").alias("title"))
     right = lines.select((F.col("l_orderkey") - 1).alias("g"), F.col("l_linenumber").alias("r_ord"), F.when(F.col("p_size") % 3 > 0, F.upper("p_brand")).alias("artist"), F.upper("p_name").alias("title"))
-    levels = matching.track_levels(F.col("artist"), F.col("title"), F.col("artist"), F.col("title"))
-    return matching.match_by_score(left, right, "g", levels)
+    left, right = (matching.with_track_keys(x, "artist", "title") for x in (left, right))
+    return matching.match_by_score(left, right, "g", matching.track_levels())

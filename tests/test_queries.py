@@ -44,9 +44,7 @@ def test_cooldown(spark):
 def test_match_by_score_is_greedy(spark):
     import random
 
-    from pyspark.sql import functions as F
-
-    from skeinwork.operators.matching import match_by_score, track_levels
+    from skeinwork.operators.matching import match_by_score, track_levels, with_track_keys
 
     rng = random.Random(8)
     artists, titles = ["Ali", "Ali & Reza", "Reza, Ali", "reza x ali", None, ""], ["Love", "love!", "Love (feat. Z)", "Love Remix", "Yar", None]
@@ -72,5 +70,5 @@ def test_match_by_score_is_greedy(spark):
             used |= {("l", g, i), ("r", g, j)}
             want.add((g, i, j, -s))
     l, r = spark.createDataFrame(left, "g int, l_ord int, artist string, title string"), spark.createDataFrame(right, "g int, r_ord int, artist string, title string")
-    c = [F.col("artist"), F.col("title")]
-    assert {tuple(x) for x in match_by_score(l, r, "g", track_levels(*c, *c)).collect()} == want and len(want) > 20
+    l, r = (with_track_keys(x, "artist", "title") for x in (l, r))
+    assert {tuple(x) for x in match_by_score(l, r, "g", track_levels()).collect()} == want and len(want) > 20
