@@ -34,7 +34,10 @@ def dedup_bucket(t):
     return ev.once_a_bucket(t("events"), ["event_type", "user_id"], "ts", 7200)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT u, ts, event_id, k, ts AS last, true AS accepted FROM e WHERE k = 1
+  UNION ALL SELECT e.u, e.ts, e.event_id, e.k, CASE WHEN e.ts - s.last >= INTERVAL 3600 SECOND THEN e.ts ELSE s.last END, e.ts - s.last >= INTERVAL 3600 SECOND FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1)
+SELECT u AS user_id, ts, event_id, accepted FROM s""")
 def rate_limit_fold(t):
     return matching.cooldown(t("events").select("user_id", "ts", "event_id"), "user_id", "ts", 3600)
 
@@ -134,13 +137,20 @@ def late_reconcile(t):
     return ordered.reconcile(waits.select("user_id", "after", F.col("x.r").alias("revision")), history, "user_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, ts, event_id, value > 90 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT u, event_id, k, CASE WHEN bad THEN ts + INTERVAL 600 SECOND END AS until, CASE WHEN bad THEN 'opened' ELSE 'passed' END AS said FROM e WHERE k = 1
+  UNION ALL SELECT e.u, e.event_id, e.k, CASE WHEN e.ts < s.until THEN s.until WHEN bad THEN e.ts + INTERVAL 600 SECOND END, CASE WHEN e.ts < s.until THEN 'skipped' WHEN bad THEN 'opened' ELSE 'passed' END
+  FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1) SELECT event_id, said FROM s""")
 def circuit_breaker(t):
     """Events of a user passed, opening the circuit, or skipped while it is open."""
     return folds.fold(t("events"), "user_id", "ts", "value", folds.breaker(600, lambda x: x > 90), "event_id").select("event_id", "said")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, epoch_us(ts) AS tm, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT u, event_id, k, tm AS last, tm AS began, 1 AS held, CAST(0 AS BIGINT) AS number FROM e WHERE k = 1
+  UNION ALL SELECT u, event_id, k, tm, CASE WHEN fresh THEN tm ELSE began END, CASE WHEN fresh THEN 1 ELSE held + 1 END, number + CAST(fresh AS BIGINT)
+  FROM (SELECT e.u, e.event_id, e.k, e.tm, s.began, s.held, s.number, s.held = 5 OR e.tm - s.last >= 7200000000 OR e.tm - s.began >= 86400000000 AS fresh FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1))
+SELECT event_id, CAST(number AS VARCHAR) AS said FROM s""")
 def collect_until(t):
     """Collections of a user's events: closed by silence, by total time, or at five events."""
     return folds.fold(t("events"), "user_id", "ts", "value", folds.collector(7200, 86400, lambda held: len(held) == 5), "event_id").select("event_id", "said")
