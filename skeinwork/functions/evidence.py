@@ -87,10 +87,21 @@ def plausible(made: Column) -> Column:
     return _sure(made["duration"], True) & (_sure(made["title"], True) | _sure(made["artist"], True))
 
 
-def candidate_score(artist: Column, title: Column, seconds: Column, artists: Column, named: Column, got_seconds: Column) -> Column:
-    """struct(exact, score, title_ok, artist_ok, duration_ok, delta) of a provider's candidate, any of whose ``artists`` may be the asked one (R-10)."""
-    title_ok = _said(named).isNotNull() & _sure(text.titles_compatible(title, named))
-    artist_ok = _sure(F.exists(artists, lambda x: same_artist(artist, x)))
+def same_title(expected: Column, actual: Column) -> Column:
+    """Compatible titles; a blank one is no title."""
+    return _said(actual).isNotNull() & _sure(text.titles_compatible(expected, actual))
+
+
+def any_artist(artist: Column, artists: Column) -> Column:
+    """Whether one of ``artists`` is the asked one; null is nobody."""
+    return _sure(F.exists(artists, lambda x: same_artist(artist, x)))
+
+
+def candidate_score(title_ok: Column, artist_ok: Column, seconds: Column, got_seconds: Column) -> Column:
+    """struct(exact, score, title_ok, artist_ok, duration_ok, delta) of a provider's candidate (R-10).
+
+    Put ``same_title`` and ``any_artist`` into columns of their own first, as they are read more than once.
+    """
     delta = seconds_apart(seconds.cast("double"), got_seconds.cast("double"))
     near = _sure(delta <= NEAR_SECONDS, True)
     points = F.when(title_ok, MATCH).otherwise(0) + F.when(artist_ok, MATCH).otherwise(0) + F.coalesce(F.greatest(F.lit(0.0), CLOSE - delta * A_SECOND), F.lit(0.0))
@@ -113,12 +124,20 @@ def links(*urls: tuple[Column, int | None, str]) -> Column:
     return F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda y: y["url"] == x["url"]))
 
 
-def recovered(track_id: Column, artist: Column, title: Column, got_id: Column, got_artist: Column, got_title: Column, got_seconds: Column, found: Column) -> Column:
-    """struct(ok, reason, id, seconds, candidates) of a catalogue's fresh answer; an id, artist or title that differs fails it (R-09)."""
+def says_nothing(found: Column, *fields: Column) -> Column:
+    """Whether an answer has no link and blank fields only."""
+    blank = F.size(found) == 0
+    for x in fields:
+        blank = blank & _said(x).isNull()
+    return blank
+
+
+def recovered(track_id: Column, got_id: Column, artist_ok: Column, title_ok: Column, nothing: Column, got_seconds: Column, found: Column) -> Column:
+    """struct(ok, reason, id, seconds, candidates) of a catalogue's fresh answer; an id, artist or title that differs fails it (R-09).
+
+    Put ``same_artist``, ``same_title``, ``says_nothing`` and ``links`` into columns of their own first, as they are read more than once.
+    """
     theirs, ours = _said(got_id), _said(track_id)
-    artist_ok = _said(got_artist).isNotNull() & same_artist(artist, got_artist)
-    title_ok = _said(got_title).isNotNull() & _sure(text.titles_compatible(title, got_title))
-    nothing = _said(got_id).isNull() & _said(got_artist).isNull() & _said(got_title).isNull() & (F.size(found) == 0)
     reason = (
         F.when(nothing, "empty")
         .when(theirs != ours, F.concat(F.lit("id "), theirs, F.lit(" instead of "), ours))

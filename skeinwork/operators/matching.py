@@ -24,6 +24,15 @@ def first_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return top(rows, keys, 1, *order)
 
 
+def once(rows: DataFrame, keys: list[str], made: dict[str, Column]) -> DataFrame:
+    """``rows`` with dear columns of ``keys``, worked out once for each distinct combination of them; keys may be null."""
+    distinct = rows.select(*keys).distinct().withColumns(made).select(*(F.col(k).alias(f"{k}__") for k in keys), *made)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    return rows.join(distinct, same).drop(*(f"{k}__" for k in keys))
+
+
 def union_capped(groups: list[DataFrame], key: str, order: str, most: int) -> DataFrame:
     """Ordered union of candidate lists: earlier lists win a key, ``most`` rows in all."""
     tagged = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinwork.functions import evidence as e
+from skeinwork.operators import matching
 from skeinwork.plans.base import Catalogue
 
 catalogue = Catalogue()
@@ -49,7 +50,9 @@ def provider_candidates(t):
     rows = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(asked, F.col("k") == F.col("o_custkey") % 8)
     artists = F.when(F.col("l_linenumber") % 3 == 1, F.array("p_type", "p_brand")).otherwise(F.array(F.lower("p_brand"), F.lit(None).cast("string")))
     got = F.when(F.col("l_linenumber") != 2, F.col("p_size") + 200)
-    made = e.candidate_score(F.col("b"), F.col("n"), F.col("o_custkey") % 50 + 200, artists, F.initcap("p_name"), got)
+    rows = matching.once(rows, ["n", "p_name"], {"title_ok": e.same_title(F.col("n"), F.initcap("p_name"))})
+    rows = matching.once(rows.withColumn("artists", artists), ["b", "artists"], {"artist_ok": e.any_artist(F.col("b"), F.col("artists"))})
+    made = e.candidate_score(F.col("title_ok"), F.col("artist_ok"), F.col("o_custkey") % 50 + 200, got)
     return rows.select("o_orderkey", "p_partkey", "l_linenumber", made.alias("m")).groupBy("o_orderkey").agg(
         F.max_by("p_partkey", F.struct("m.score", -F.col("l_linenumber"), -F.col("p_partkey"))).alias("best"), F.max("m.score").alias("score"), F.bool_or("m.exact").alias("exact"),
         F.count_if("m.title_ok").alias("titles"), F.count_if("m.artist_ok").alias("artists"), F.count_if(~F.col("m.duration_ok")).alias("off"),
@@ -73,9 +76,10 @@ def recovery_evaluation(t):
     artist = answered(F.when(key % 7 == 2, F.lit("Somebody")).otherwise(F.upper("p_brand")))
     title = answered(F.when(key % 5 == 4, F.concat("p_name", F.lit(" (Live)"))).otherwise(F.initcap("p_name")))
     found = e.links((F.expr(_HIGH), 256, "high"), (F.expr(_PLAIN), None, "plain"), (F.expr(_LOW), 128, "low"))
-    made = e.recovered(key.cast("string"), F.col("p_brand"), F.col("p_name"), theirs, artist, title, F.lit(None).cast("int"), found)
+    made = e.recovered(key.cast("string"), theirs, F.col("artist_ok"), F.col("title_ok"), F.col("nothing"), F.lit(None).cast("int"), F.col("found"))
     row = lambda x: F.concat_ws(" ", x["url"], x["quality"].cast("string"), x["source"])
-    return t("part").select("p_partkey", made.alias("m")).select("p_partkey", "m.ok", "m.reason", "m.id", F.when(F.col("m.ok"), F.array_join(F.transform("m.candidates", row), "|")).alias("candidates"))
+    read = t("part").withColumn("found", found).withColumns({"artist_ok": e.same_artist(F.col("p_brand"), artist), "title_ok": e.same_title(F.col("p_name"), title), "nothing": e.says_nothing(F.col("found"), theirs, artist, title)})
+    return read.select("p_partkey", made.alias("m")).select("p_partkey", "m.ok", "m.reason", "m.id", F.when(F.col("m.ok"), F.array_join(F.transform("m.candidates", row), "|")).alias("candidates"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),

@@ -49,7 +49,8 @@ CANDIDATES = [
 
 def test_candidate_score(spark):
     df = spark.createDataFrame([(k, "Ali", "Love", 200, *x[:3]) for k, x in enumerate(CANDIDATES)], "k int, a string, t string, s int, l array<string>, n string, g double")
-    made = df.select("k", e.candidate_score(*(C(x) for x in "atslng")).alias("m"))
+    df = df.withColumns({"x": e.same_title(C("t"), C("n")), "y": e.any_artist(C("a"), C("l"))})
+    made = df.select("k", e.candidate_score(*(C(x) for x in "xysg")).alias("m"))
     assert {r.k: tuple(r.m) for r in made.collect()} == {k: x[3] for k, x in enumerate(CANDIDATES)}
 
 
@@ -68,7 +69,8 @@ ANSWERS = [
 def test_recovered(spark):
     df = spark.createDataFrame([(k, "7", "Ali", "Love", *got, *urls) for k, (got, urls, *_) in enumerate(ANSWERS)], "k int, i string, a string, t string, gi string, ga string, gt string, u string, v string, w string")
     found = e.links((C("u"), 256, "high"), (C("v"), None, "plain"), (C("w"), 128, "low"))
-    made = {r.k: r.m for r in df.select("k", e.recovered(C("i"), C("a"), C("t"), C("gi"), C("ga"), C("gt"), F.lit(0), found).alias("m")).collect()}
+    df = df.withColumn("l", found).withColumns({"x": e.same_artist(C("a"), C("ga")), "y": e.same_title(C("t"), C("gt")), "z": e.says_nothing(C("l"), C("gi"), C("ga"), C("gt"))})
+    made = {r.k: r.m for r in df.select("k", e.recovered(C("i"), C("gi"), C("x"), C("y"), C("z"), F.lit(0), C("l")).alias("m")).collect()}
     for k, (_, _, reason, links) in enumerate(ANSWERS):
         assert (made[k].ok, made[k].reason, made[k].seconds, made[k].id) == (reason is None, reason, None, "7" if reason is None else None)
         assert (made[k].candidates and [tuple(x) for x in made[k].candidates]) == links
