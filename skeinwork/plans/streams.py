@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skeinwork.operators import matching
 from skeinwork.plans.base import Catalogue
 from skeinwork.streaming import events as ev
-from skeinwork.streaming import folds, ordered, sinks
+from skeinwork.streaming import folds, keyed, ordered, sinks
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -123,6 +123,31 @@ def circuit_timer(t):
     return ordered.run(e, "user_id", "ts", ["event_id", "failed"], ordered.Circuit(86400))
 
 
+_BUFFER = """SELECT user_id, epoch_us(ts) AS "at", event_id AS id, row_number() OVER w AS seq, lag(event_id, 20) OVER w AS "left", least(20, row_number() OVER w) AS held FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@query(_BUFFER)
+def buffer_of_newest(t):
+    """A user's newest twenty events, numbered, with what each pushes out (T-01)."""
+    return ordered.run(t("events"), "user_id", "ts", ["event_id"], keyed.Buffer(20))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS tm, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k,
+  CASE event_type WHEN 'signup' THEN 'set' WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'get' END AS deed, props, CASE WHEN value > 2 THEN value * 600.0 END AS ttl FROM events),
+w AS (SELECT *, max(CASE WHEN deed IN ('set', 'delete') THEN k END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wk,
+  min(CASE WHEN deed IN ('set', 'delete') THEN tm END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM e),
+j AS (SELECT w.*, CASE WHEN s.deed = 'set' AND s.ttl > 0 AND s.tm + CAST(floor(s.ttl * 1000000) AS BIGINT) > w.tm THEN s.props END AS live FROM w LEFT JOIN e s ON s.user_id = w.user_id AND s.k = w.wk)
+SELECT user_id, tm AS "at", id, CASE deed WHEN 'set' THEN 'set' WHEN 'delete' THEN 'deleted' WHEN 'get' THEN CASE WHEN live IS NULL THEN 'miss' ELSE 'hit' END END AS said, CASE deed WHEN 'set' THEN props ELSE live END AS value FROM j WHERE deed IS NOT NULL
+UNION ALL SELECT user_id, tm + CAST(floor(ttl * 1000000) AS BIGINT), id, 'expired', props FROM w WHERE deed = 'set' AND ttl > 0 AND tm + CAST(floor(ttl * 1000000) AS BIGINT) <= least(coalesce(next, 4000000000000000), (SELECT max(epoch_us(ts)) FROM events))""")
+def session_cache(t):
+    """A user's session that some events set for a time, and others read or delete (T-17)."""
+    kind, e = F.col("event_type"), t("events")
+    deed = F.when(kind.isin("signup", "purchase"), "set").when(kind == "error", "delete").when(kind == "click", "get")
+    e = e.withColumns({"deed": deed, "ttl": F.when(F.col("value") > 2, F.col("value") * 600)})
+    last = e.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return ordered.run(e, "user_id", "ts", ["event_id", "deed", "props", "ttl"], keyed.Sessions(), last)
+
+
 @query("""WITH w AS (SELECT user_id, max(event_id) AS after, arg_max(CASE WHEN value > 20 THEN event_type END, event_id) AS revision FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1),
 h AS (SELECT user_id, event_id AS id, CASE WHEN value > 50 THEN event_type || '*' ELSE event_type END AS now, value > 60 AS target FROM events),
 b AS (SELECT w.user_id, id, target, id > after AS new, coalesce(id = after AND arg.revision IS NOT NULL AND now IS DISTINCT FROM arg.revision, false) AS edited FROM w LEFT JOIN h USING (user_id) LEFT JOIN (SELECT user_id, after AS a, CASE WHEN value > 20 THEN event_type END AS revision FROM w JOIN events e USING (user_id) WHERE e.event_id = after) arg ON arg.user_id = w.user_id)
