@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import policy, text
 from skeinwork.operators import matching
 from skeinwork.plans.base import AS_OF, Catalogue
+from skeinwork.runtime import materialize
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -209,12 +210,41 @@ SELECT a.p_partkey, b.p_partkey AS match, CAST((a.p_brand = b.p_brand) AS INT) *
 FROM p a JOIN p b ON a.k = b.k AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 12
 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY CAST((a.p_brand = b.p_brand) AS INT) * 100 - abs(a.p_size - b.p_size) DESC, b.p_partkey) = 1""")
 def best_candidate_match(t):
-    """Candidates of an equal normalised name within a band; the best score, first of equals."""
-    p = t("part").withColumn("k", text.norm(F.col("p_name")))
-    a, b = p.alias("a"), p.alias("b")
-    near = (F.col("a.k") == F.col("b.k")) & (F.col("a.p_partkey") != F.col("b.p_partkey")) & (F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 12)
-    score = (F.col("a.p_brand") == F.col("b.p_brand")).cast("int") * 100 - F.abs(F.col("a.p_size") - F.col("b.p_size"))
-    pairs = a.join(b, near).select(F.col("a.p_partkey").alias("p_partkey"), F.col("b.p_partkey").alias("match"), score.alias("score"))
+    """Candidates of an equal normalised name within a band; the best score, first of equals.
+
+    A candidate of the same brand beats all others, one without a brand has no score and comes last.  So each part needs two
+    candidates at most of its name, brand and band, and two of its name and band (one of the two may be the part itself):
+    they are found once for each name, brand and size, over two keys of each size in the band.
+    """
+    names = materialize(t("part").select("p_name").distinct().withColumn("k", text.norm(F.col("p_name"))), "part_names")
+    p = t("part").dropna(subset=["p_partkey", "p_size"]).join(names, "p_name").select("p_partkey", "k", "p_brand", "p_size")
+
+    def sizes(rows: DataFrame, *keys: str) -> DataFrame:
+        """One row for each of ``keys`` and size, with its two smallest part keys."""
+        two = matching.top(rows.select(*keys, "p_size", "p_partkey").distinct(), [*keys, "p_size"], 2, F.col("p_partkey"))
+        return two.groupBy(*keys, "p_size").agg(F.collect_list("p_partkey").alias("own"))
+
+    def banded(*keys: str, by_gap: bool = True) -> F.Column:
+        """The best two candidates within the band around each row of ``sizes``."""
+        band = Window.partitionBy(*keys).orderBy("p_size").rangeBetween(-12, 12)
+        gap = lambda x: F.abs(x["p_size"] - F.col("p_size")) if by_gap else F.lit(0)
+        spread = lambda x: F.transform(x["own"], lambda o: F.struct(gap(x).alias("gap"), o.alias("p_partkey")))
+        found = F.array_sort(F.flatten(F.transform(F.collect_list(F.struct("p_size", "own")).over(band), spread)))
+        second = lambda v: F.get(F.filter(v, lambda x: x["p_partkey"] != v[0]["p_partkey"]), F.lit(0))
+        return F.transform(F.array(found), lambda v: F.array_compact(F.array(v[0], second(v))))[0]  # the list is named, so sorted once
+
+    each = materialize(sizes(p, "k", "p_brand"), "part_sizes")
+    keyed = each.select("k", "p_brand", "p_size", F.explode("own").alias("p_partkey"))
+    branded = each.select("k", "p_brand", "p_size", F.when(F.col("p_brand").isNotNull(), banded("k", "p_brand")).alias("same"))
+    other = sizes(keyed.filter("p_brand is not null"), "k").select("k", "p_size", banded("k").alias("other"))
+    unscored = sizes(keyed, "k").select("k", "p_size", banded("k", by_gap=False).alias("unscored"))
+    known = branded.join(unscored, ["k", "p_size"]).join(other, ["k", "p_size"], "left").withColumnsRenamed({"k": "_k", "p_brand": "_brand", "p_size": "_size"})
+    made = p.join(known, (F.col("k") == F.col("_k")) & F.col("p_brand").eqNullSafe(F.col("_brand")) & (F.col("p_size") == F.col("_size")))
+
+    found = lambda name: F.get(F.filter(name, lambda x: x["p_partkey"] != F.col("p_partkey")), F.lit(0))
+    made = made.select("p_partkey", found("same").alias("same"), F.when(F.col("p_brand").isNotNull(), found("other")).alias("other"), found("unscored")["p_partkey"].alias("unscored"))
+    score = F.when(F.col("same").isNotNull(), 100 - F.col("same.gap")).when(F.col("other").isNotNull(), -F.col("other.gap"))
+    pairs = made.select("p_partkey", F.coalesce("same.p_partkey", "other.p_partkey", "unscored").alias("match"), score.alias("score")).filter("match is not null")
     best = F.max_by(F.struct("match", "score"), F.struct("score", -F.col("match"))).alias("x")  # combines before the shuffle
     return pairs.groupBy("p_partkey").agg(best).select("p_partkey", "x.match", "x.score")
 
