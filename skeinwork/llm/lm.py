@@ -7,12 +7,13 @@ text's kind, then its bytes bit by bit:
   counts of all training texts.  They are short, so the script bounds their number, not the corpus.
 * A mixer combines these predictions in the logistic domain with weights that a gate (how often
   the longest contexts were seen, and the bit's place) selects; the weights are learnt online, in
-  the order of a hash, from at most ``LEARN`` distinct byte runs of one fold of the training texts
-  against tables of the others.  An adaptive map of (bits so far, mixed prediction) refines the result.
+  the order of a hash, from all distinct byte runs of one fold of the training texts against tables of the others:
+  parts of about ``LEARN`` runs each, dealt by a hash, whose weights are averaged by what each gate saw.
+  An adaptive map of (bits so far, mixed prediction), counted over the same runs, refines the result.
 * The two words before a word are a context without a bound: every such pair of all training texts is
   kept, by its place in the deal and 32 bits of its hash, with the word that followed most often.  While the bits coded so far agree with that
   word (its first eight bytes), an adaptive map of (how often and how surely it followed, mixed
-  prediction towards its bit) gives the chance.  That map is learnt from the same fold, over one in ``EVERY`` contexts.
+  prediction towards its bit) gives the chance.  That map is learnt from the same fold, over all its tokens.
 
 All that is learnt is fixed before scoring, counts are whole numbers and costs are summed in units of
 2^-20 bit, so a text's score depends on nothing but the text and the training texts: not on other
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.words import LOWER
-from skeinwork.runtime import checkpoint, free_shuffles, materialize
+from skeinwork.runtime import checkpoint, discard, free_shuffles, materialize
 
 #: Contexts: bytes, which never reach back past the blank before the word, and whether with the kind.
 CONTEXTS = ((1, True), (2, True), (3, True), (4, False), (5, False))
@@ -58,15 +59,15 @@ SLOTS = 1 << BITS
 #: Slots of the tables that one task sums.
 RANGE = 1 << 16
 
-#: Words whose counts are broadcast, and byte runs that the mixer learns from, at most.
+#: Words whose counts are broadcast at most, and byte runs from which one task learns weights (about).
 HEAD, LEARN = 1 << 17, 1 << 17
 
 #: Byte runs that a task holds before it passes them on; a quarter as many words.
 HOLD = 1 << 19
 
-#: Training words for each task of a look-up; contexts of which one in so many teaches the map; one in so many words makes a
-#: pair hot, if it comes so often; tasks of a hot pair; rows of which one in so many are probed for hot pairs.
-PER_TASK, EVERY, HOT, HOT_LEAST, SALTS, PROBE = 1 << 19, 8, 512, 16, 64, 16
+#: Training words for each task of a look-up; one in so many words makes a pair hot, if it comes so often; tasks of a hot
+#: pair; rows of which one in so many are probed for hot pairs.
+PER_TASK, HOT, HOT_LEAST, SALTS, PROBE = 1 << 19, 512, 16, 64, 16
 
 END = b"\n"
 GATES = 27 * 8
@@ -192,12 +193,12 @@ class Mixer:
     def stretched(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
 
-    def learn(self, tables: Tables, code: np.ndarray, count: np.ndarray, rounds: int = 3, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-        """Online passes over runs and how often they came; what each gate saw, and the cells of the map.
+    def learn(self, tables: Tables, code: np.ndarray, count: np.ndarray, rounds: int = 3, rate: float = 0.1) -> np.ndarray:
+        """Online passes over runs and how often they came; what each gate saw.
 
         Steps are scaled by each weight's curvature, since frequent runs count a thousandfold.
         """
-        seen, cells = np.zeros(GATES), np.zeros((256, CELLS, 2))
+        seen = np.zeros(GATES)
         order = np.argsort(code * np.uint64(0xD6E8FEB86659FD93))
         code, count = code[order], count[order]
         for turn in range(rounds):
@@ -214,8 +215,18 @@ class Mixer:
                         self.weights[:, i] += np.clip(rate * slope / (curve + 1), -0.05, 0.05)
                     if turn == rounds - 1:
                         seen += np.bincount(gate, n, GATES)
-                        np.add.at(cells, (node, _cells(s), bit), n)
-        return seen, cells
+        return seen
+
+    def cells(self, tables: Tables, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """(bits so far, cell, bit) counts of runs and how often they came, flat."""
+        out = np.zeros(256 * CELLS * 2)
+        for k in range(0, len(code), 1 << 12):
+            part, n = code[k : k + (1 << 12)], count[k : k + (1 << 12)]
+            hashes = [hashed(part, i) for i in range(len(CONTEXTS))]
+            for j, node, bit in bits_of(part):
+                s = self.stretched(*_inputs(tables, hashes, j, node))
+                out += np.bincount((node * CELLS + _cells(s)) * 2 + bit, n, len(out))
+        return out
 
     def refine(self, cells: np.ndarray) -> None:
         """Set the map to what came of the predictions of each cell."""
@@ -465,23 +476,8 @@ def _steps(mixer: Mixer, tables: Tables, next8: np.ndarray, kinds: np.ndarray, l
         yield part, chance, cell, bit < upto[:, None], came
 
 
-def learn_agreements(mixer: Mixer, tables: Tables, next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """(level, cell, came) counts of coded bits."""
-    counts = np.zeros(LEVELS * CELLS * 2, np.int64)
-    for part, _, cell, used, came in _steps(mixer, tables, next8, kinds, likely, level):
-        at = (level[part][:, None] * CELLS + cell) * 2 + came
-        counts += np.bincount(at[used], minlength=len(counts))
-    return counts.reshape(LEVELS, CELLS, 2)
-
-
-def savings(mixer: Mixer, tables: Tables, agreements: Agreements, next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """What each token costs less for its likely word being known, in units of 2^-20 bit.
-
-    Tokens alike in all four are costed once, and the mixed chances of a byte once for each start of a word of each kind.
-    """
-    out = np.zeros(len(next8), np.int64)
-    if not len(out):
-        return out
+def _alike(next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct (word, kind, likely word, level) of tokens, by kind and word; the tokens' order, and where each is in it."""
     order = np.lexsort((next8, kinds))
     word, high, guess, deep = next8[order], kinds[order].astype(np.uint64), likely[order], level[order].astype(np.int64)
     # tokens of one word and kind lie together; of those, one for each likely word and level
@@ -497,17 +493,18 @@ def savings(mixer: Mixer, tables: Tables, agreements: Agreements, next8: np.ndar
     one = one[rank]
     back = np.empty(len(rank), np.int64)
     back[rank] = np.arange(len(rank))
-    place = back[place]
-    word, high, guess, deep = word[one], high[one], guess[one], deep[one]
+    return word[one], high[one], guess[one], deep[one], order, back[place]
 
+
+def _coded(mixer: Mixer, tables: Tables, word: np.ndarray, high: np.ndarray, guess: np.ndarray) -> Iterator[tuple[np.ndarray, bool, np.ndarray, np.ndarray]]:
+    """(tokens, whether their bit is the likely word's, cells towards its bit, log2 of the mixed chance) for each bit that is
+    coded while the likely word agrees.  The mixed chances of a byte are worked out once for each start of a word of each kind."""
     size = np.zeros(len(word), np.int64)
     for i in range(8):
         size += (word >> np.uint64(56 - 8 * i) & np.uint64(255)) != 0
     size = 8 * np.maximum(1, size)
     agree = np.minimum(_leading_zeros(word ^ guess), size)
     upto = np.minimum(agree + 1, size)
-    likely_p, other_p = np.log2(agreements.chance), np.log2(1 - agreements.chance)
-    gain = np.zeros(len(word))
     for i in range(8):
         own = np.flatnonzero(8 * i < upto)
         if not len(own):
@@ -519,16 +516,35 @@ def savings(mixer: Mixer, tables: Tables, agreements: Agreements, next8: np.ndar
         chance = mixer.chances(tables, code)
         st = np.log(chance / (1 - chance))
         towards, against, log = _cells(st), _cells(-st), np.log2(chance.astype(np.float64))
-        of, deeps, came = np.cumsum(first) - 1, deep[own], agree[own] - 8 * i
-        sums = np.zeros(len(own))
+        of, came = np.cumsum(first) - 1, agree[own] - 8 * i
         for j in range(8):
             yes = came > j
-            at = of[yes]
-            sums[yes] += likely_p[deeps[yes], towards[at, j]] - log[at, j]
+            yield own[yes], True, towards[of[yes], j], log[of[yes], j]
             missed = (came == j) & (8 * i + j < size[own])
-            at = of[missed]
-            sums[missed] += other_p[deeps[missed], against[at, j]] - log[at, j]
-        gain[own] += sums
+            yield own[missed], False, against[of[missed], j], log[of[missed], j]
+
+
+def learn_agreements(mixer: Mixer, tables: Tables, next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """(level, cell, came) counts of coded bits; tokens alike in all four are worked out once."""
+    counts = np.zeros(LEVELS * CELLS * 2)
+    if len(next8):
+        word, high, guess, deep, _, place = _alike(next8, kinds, likely, level)
+        n = np.bincount(place, minlength=len(word))
+        for rows, came, cell, _ in _coded(mixer, tables, word, high, guess):
+            counts += np.bincount((deep[rows] * CELLS + cell) * 2 + came, n[rows], len(counts))
+    return counts.astype(np.int64).reshape(LEVELS, CELLS, 2)
+
+
+def savings(mixer: Mixer, tables: Tables, agreements: Agreements, next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """What each token costs less for its likely word being known, in units of 2^-20 bit; tokens alike in all four are costed once."""
+    out = np.zeros(len(next8), np.int64)
+    if not len(out):
+        return out
+    word, high, guess, deep, order, place = _alike(next8, kinds, likely, level)
+    likely_p, other_p = np.log2(agreements.chance), np.log2(1 - agreements.chance)
+    gain = np.zeros(len(word))
+    for rows, came, cell, log in _coded(mixer, tables, word, high, guess):
+        gain[rows] += (likely_p if came else other_p)[deep[rows], cell] - log
     out[order] = _units(gain)[place]
     return out
 
@@ -661,18 +677,47 @@ def build_tables(runs_: DataFrame) -> tuple[Tables, Tables]:
 
 
 def learn_mixer(runs_: DataFrame, early: Tables) -> Mixer:
-    """One mixer, learnt online from late runs in the order of a hash of them."""
-    mixer = Mixer()
-    late = runs_.filter("b > 0")
+    """One mixer, learnt from all late runs.
+
+    Runs are dealt by a hash to parts of about ``LEARN``; each part learns online from the same start, and weights are averaged
+    by what their gate saw.  Then the map is counted over all runs under these weights.  Sums are of whole numbers.
+    """
+    mixer, spark = Mixer(), runs_.sparkSession
+    late = runs_.filter("b > 0").select("code", "b")
     n = late.count()
-    if n:
-        if n > LEARN:
-            late = late.filter(F.xxhash64("code") / float(1 << 63) < 2 * LEARN / n - 1)
-        found = late.select("code", "b").toArrow()
-        code, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
-        order = np.argsort(code)
-        _, cells = mixer.learn(early, code[order], count[order])
-        mixer.refine(cells)
+    if not n:
+        return mixer
+    parts = -(-n // LEARN)
+    shared = spark.sparkContext.broadcast((mixer, early))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        code, count = (np.concatenate(x) for x in zip(*held))
+        order, own = np.argsort(code.view(np.uint64)), Mixer()
+        seen = own.learn(shared.value[1], code.view(np.uint64)[order], count[order]).astype(np.int64)
+        units = _units(own.weights.astype(np.float64)) * seen[:, None]
+        at = np.flatnonzero(np.repeat(seen, units.shape[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(seen, units.shape[1])[at]), pa.array(units.reshape(-1)[at])], ["at", "n", "units"])
+
+    dealt = late.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+    found = dealt.select("code", "b").mapInArrow(learn, "at long, n long, units long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("units").alias("units")).toArrow()
+    at, seen, units = (found.column(i).to_numpy() for i in range(3))
+    mixer.weights.reshape(-1)[at] = units / _UNIT / seen
+    shared = spark.sparkContext.broadcast((mixer, early))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(256 * CELLS * 2)
+        for b in batches:
+            cells += shared.value[0].cells(shared.value[1], b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy())
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at].astype(np.int64))], ["at", "n"])
+
+    found = late.mapInArrow(place, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(256 * CELLS * 2)
+    cells[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    mixer.refine(cells.reshape(256, CELLS, 2))
     return mixer
 
 
@@ -730,11 +775,12 @@ def _received(base: int, blob: bytes) -> list[np.ndarray]:
     return [context, next8, base + np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 8), kinds, use, times]
 
 
-def look_up(docs: DataFrame, tasks: int, hot: np.ndarray, every: int, work, schema: str) -> DataFrame:
+def look_up(docs: DataFrame, tasks: int, hot: np.ndarray, work, schema: str, least: int = 0) -> DataFrame:
     """Deal all tokens of ``docs`` (text, row, use, kind) by their context and apply ``work`` to each place's arrays.
 
     ``use``: 0 is asked only, 1 teaches and is asked, 2 is taught by 1 in a rehearsal.  What a batch teaches is counted
-    first; hot contexts are dealt to ``SALTS`` places by row, and what they teach goes to all of these.
+    first; hot contexts are dealt to ``SALTS`` places by row, and what they teach goes to all of these.  ``work`` gets tokens
+    of use ``least`` or more.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -746,9 +792,6 @@ def look_up(docs: DataFrame, tasks: int, hot: np.ndarray, every: int, work, sche
                 base = part.column(1)[0].as_py()
                 row, use, kinds = (part.column(i).to_numpy()[text] for i in (1, 2, 3))
                 row, use = row - base, use.astype(np.uint8)
-                if every > 1:
-                    own = context % np.uint64(every) == 0
-                    context, next8, kinds, row, use = context[own], next8[own], kinds[own], row[own], use[own]
                 place = (context >> np.uint64(32)) % np.uint64(tasks)
                 many = np.isin(context, hot)
                 place = np.where(many, (place + row.astype(np.uint64) % np.uint64(SALTS)) % np.uint64(tasks), place).astype(np.int64)
@@ -770,10 +813,12 @@ def look_up(docs: DataFrame, tasks: int, hot: np.ndarray, every: int, work, sche
             for place, base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 held.setdefault(place, []).append(_received(base, blob.as_py()))
         for place in sorted(held):
-            context, next8, row, kinds, use, n = (np.concatenate(x) for x in zip(*held.pop(place)))
-            known, likely, level = likeliest(context, next8, n.astype(np.int64))
-            seen = np.flatnonzero(known & (use != 3))
-            yield work(next8[seen], row[seen], kinds[seen], use[seen], likely[seen], level[seen])
+            asked = [np.concatenate(x) for x in zip(*held.pop(place))]
+            known, likely, level = likeliest(asked[0], asked[1], asked[5].astype(np.int64))
+            seen = np.flatnonzero(known & (asked[4] >= least) & (asked[4] != 3))
+            asked = [x[seen] for x in (*asked[1:5], likely, level)]
+            del known, likely, level, seen  # a place's arrays are a worker's largest
+            yield work(*asked)
 
     dealt = docs.select("text", "row", "use", "kind").mapInArrow(deal, "place int, base long, blob binary")
     return dealt.repartitionById(tasks, F.col("place")).mapInArrow(run, schema)
@@ -817,19 +862,20 @@ def train(known: DataFrame, words: DataFrame, hot: np.ndarray, tasks: int) -> tu
     counted = materialize(count_runs(words), "runs")
     early, final = build_tables(counted)
     mixer, agreements = learn_mixer(counted, early), Agreements()
+    discard(counted)
     shared = spark.sparkContext.broadcast((mixer, early))
 
     def rehearse(next8, row, kinds, use, likely, level):  # noqa: ANN001, ANN202
-        own = use == 2
-        counts = learn_agreements(*shared.value, next8[own], kinds[own], likely[own], level[own])
+        counts = learn_agreements(*shared.value, next8, kinds, likely, level)
         at = np.flatnonzero(counts)
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.reshape(-1)[at])], ["at", "n"])
 
     asked = training.withColumn("use", F.when(F.col("late"), 2).otherwise(1))
-    seen = look_up(asked, max(1, tasks // EVERY), hot, EVERY, rehearse, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    seen = look_up(asked, tasks, hot, rehearse, "at long, n long", least=2).groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(LEVELS * CELLS * 2)
     counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
     agreements.refine(counts.reshape(LEVELS, CELLS, 2))
+    free_shuffles(spark)  # all tokens have been dealt, and will be again
     return mixer, final, agreements
 
 
@@ -860,6 +906,7 @@ def score_documents(docs: DataFrame, held: Column, late: Column) -> DataFrame:
     hot = hot_contexts(known)
     tasks = max(8, -(-n // PER_TASK))
     mixer, tables, agreements = train(known, by_kind, hot, tasks)
+    discard(by_kind)
     shared = spark.sparkContext.broadcast((mixer, tables, agreements, costs))
     model = uuid.uuid4().int
 
@@ -911,7 +958,7 @@ def score_documents(docs: DataFrame, held: Column, late: Column) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(sums)], ["row", "saved"])
 
     asked = known.withColumn("use", F.when(F.col("held_out"), 0).otherwise(1))
-    saved = look_up(asked, tasks, hot, 1, save, "row long, saved long").groupBy("row").agg(F.sum("saved").alias("saved"))
+    saved = look_up(asked, tasks, hot, save, "row long, saved long").groupBy("row").agg(F.sum("saved").alias("saved"))
     end = words.filter(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     joined = made.drop("tail").join(tail, "row", "left").join(saved, "row", "left")
     cost = F.col("cost") - F.coalesce("saved", F.lit(0))
