@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +77,85 @@ CELLS = 24
 LEVELS = 6 * 4
 _SCALE = 2048
 _UNIT = float(1 << 20)
+#: How often a slot was seen, by level: hardly, sometimes, often.
+_GRADE = np.minimum(2, (np.arange(256) + 1) >> 1).astype(np.uint8)
 #: Parts of one in which the base's logarithms are summed.
 _FINE = float(1 << 36)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
 def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
+def spelt(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the tokens of all texts as modelled, each with the blank or end behind it; the length of each token with
+    that, and the number of tokens of each text (a text without words is one empty word)."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind_of = pa.large_binary()
+    closed = pc.binary_join_element_wise(texts.cast(kind_of).fill_null(b""), pa.scalar(b"", kind_of), pa.scalar(b"\n", kind_of))
+    stops, raw = _bytes_of(closed)
+    gap = _SPACE[raw]
+    before = np.r_[True, gap[:-1]]
+    starts, ends = np.flatnonzero(before & ~gap), np.flatnonzero(gap & ~before)
+    count = np.diff(np.searchsorted(starts, stops))
+    empty = np.flatnonzero(count == 0)
+    np.logical_not(gap, out=gap)
+    gap[ends] = True
+    if len(empty):
+        lone = stops[1:][empty] - 1
+        at = np.searchsorted(starts, lone)
+        starts, ends, count[empty], gap[lone] = np.insert(starts, at, lone), np.insert(ends, at, lone), 1, True
+    size = ends - starts + 1
+    data = _LOWER[raw[gap]]
+    stop = np.cumsum(size) - 1
+    data[stop] = 32
+    data[stop[np.cumsum(count) - 1]] = END[0]
+    return data, size, count
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a large_binary array."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset)
+    held = strings.buffers()[2]
+    return offsets - offsets[0], np.frombuffer(held, np.uint8, offsets[-1] - offsets[0], offsets[0]) if held else np.zeros(0, np.uint8)
+
+
+def _strings(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A large_binary array of strings that lie one behind the other."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)]), pa.py_buffer(data)])
+
+
+def marked(data: np.ndarray, size: np.ndarray, count: np.ndarray, kinds: np.ndarray) -> pa.DictionaryArray:
+    """Tokens from ``spelt``, the last byte of each replaced by its text's kind and whether it ends the text."""
+    out, stop = data.copy(), np.cumsum(size) - 1
+    out[stop] = np.repeat(2 * kinds, count) + (data[stop] == END[0])
+    return _strings(out, size).dictionary_encode()
+
+
+def unmarked(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of ``marked`` tokens with the blank or end behind them, their lengths and kinds."""
+    stops, data = _bytes_of(words)
+    data, stop = data.copy(), stops[1:] - 1
+    mark = data[stop]
+    data[stop] = np.where(mark & 1, END[0], 32)
+    return data, np.diff(stops), mark >> 1
+
+
+def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``BLOCK_BYTES`` of text (one text may be longer)."""
+    size = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
+    edges = np.flatnonzero(np.diff(np.cumsum(size) // BLOCK_BYTES, prepend=0))
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 # ---- the mixing model
 
 
@@ -97,6 +168,29 @@ def kind(words: list[bytes]) -> int:
     return zlib.crc32(min(w for w, c in seen.items() if c == most)) % (KINDS - 1) + 1
 
 
+def kinds_of(texts: pa.Array) -> np.ndarray:
+    """The ``kind`` of each text."""
+    data, size, count = spelt(texts)
+    data[np.cumsum(size) - 1] = 32
+    named = _strings(data, size).dictionary_encode()
+    words, many = named.dictionary, max(1, len(named.dictionary))
+    key = np.sort(np.repeat(np.arange(len(count)), count) * many + np.asarray(named.indices))
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    text, word = np.divmod(key[edges], many)
+    times = np.diff(np.r_[edges, len(key)])
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else edges
+    most = np.flatnonzero(times == np.maximum.reduceat(times, first)[text]) if len(text) else edges
+    text, word = text[most], word[most]
+    tried, place = np.unique(word, return_inverse=True)
+    spelling = words.take(pa.array(tried)).to_pylist()
+    order = sorted(range(len(tried)), key=lambda i: spelling[i][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else edges
+    chosen = [spelling[order[i]] for i in np.minimum.reduceat(rank[place], first).tolist()] if len(text) else []
+    return np.array([zlib.crc32(w[:-1]) % (KINDS - 1) + 1 if len(w) > 1 else 0 for w in chosen], np.int64)
+
+
 def runs(data: np.ndarray) -> np.ndarray:
     """Codes of the last ``REACH`` + 1 bytes up to each position past the first ``REACH``.
 
@@ -168,16 +262,19 @@ def slot_counts(code: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 
 
 def _inputs(tables: Tables, hashes: list[np.ndarray], j: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of the mixer (one column per context, and a constant) and its gate."""
-    x = np.empty((len(node), len(CONTEXTS) + 1), np.float32)
-    gate = np.zeros(len(node), np.int64)
+    """Inputs of the mixer (one row per context, and a constant) and its gate."""
+    x = np.empty((len(CONTEXTS) + 1, len(node)), np.float32)
+    gate = np.zeros(len(node), np.uint8)  # of 216
     for i, h in enumerate(hashes):
         at = slots_at(h, node)
-        x[:, i] = tables.stretch[at] / np.float32(_SCALE)
+        np.multiply(tables.stretch[at], np.float32(1 / _SCALE), out=x[i])
         if i >= len(CONTEXTS) - 3:
-            gate = gate * 3 + np.minimum(2, (tables.level[at] + 1) >> 1)
-    x[:, -1] = 0.3
-    return x, gate * 8 + j
+            gate *= 3
+            gate += _GRADE[tables.level[at]]
+    x[-1] = 0.3
+    gate *= 8
+    gate += np.uint8(j)
+    return x, gate.astype(np.int64)
 
 
 def _cells(stretched: np.ndarray) -> np.ndarray:
@@ -191,7 +288,10 @@ class Mixer:
         self.refined = np.tile(1 / (1 + np.exp(-(np.arange(CELLS) - 11.5))), (256, 1))
 
     def stretched(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
+        s = x[0] * self.weights[:, 0][gate]
+        for i in range(1, len(x)):
+            s += x[i] * self.weights[:, i][gate]
+        return np.clip(s, -12, 12, out=s)
 
     def learn(self, tables: Tables, code: np.ndarray, count: np.ndarray, rounds: int = 3, rate: float = 0.1) -> np.ndarray:
         """Online passes over runs and how often they came; what each gate saw.
@@ -210,8 +310,8 @@ class Mixer:
                     s = self.stretched(x, gate)
                     p = 1 / (1 + np.exp(-s))
                     error, bend = (bit - p) * n, p * (1 - p) * n
-                    for i in range(x.shape[1]):
-                        slope, curve = np.bincount(gate, error * x[:, i], GATES), np.bincount(gate, bend * x[:, i] ** 2, GATES)
+                    for i in range(len(x)):
+                        slope, curve = np.bincount(gate, error * x[i], GATES), np.bincount(gate, bend * x[i] ** 2, GATES)
                         self.weights[:, i] += np.clip(rate * slope / (curve + 1), -0.05, 0.05)
                     if turn == rounds - 1:
                         seen += np.bincount(gate, n, GATES)
@@ -233,16 +333,25 @@ class Mixer:
         self.refined = (cells[:, :, 1] + 8 * self.refined) / (cells.sum(axis=2) + 8)
 
     def chances(self, tables: Tables, code: np.ndarray) -> np.ndarray:
-        """The chance given to each of the eight bits of the last byte of each run."""
+        """The chance given to each of the eight bits of the last byte of each run.
+
+        Neighbours that agree in context and bits so far share a prediction, which is worked out once: sorted runs are cheapest.
+        """
         out = np.empty((len(code), 8), np.float32)
         for k in range(0, len(code), 1 << 12):  # parts that stay in a core's cache
             part = code[k : k + (1 << 12)]
-            hashes = [hashed(part, i) for i in range(len(CONTEXTS))]
+            same = part >> np.uint64(8)
+            own = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+            hashes = [hashed(part[own], i) for i in range(len(CONTEXTS))]
             for j, node, bit in bits_of(part):
-                x, gate = _inputs(tables, hashes, j, node)
+                start = part >> np.uint64(8 - j)
+                first = np.r_[True, start[1:] != start[:-1]]
+                one = np.flatnonzero(first)
+                context, node = np.searchsorted(own, one, "right") - 1, node[one]
+                x, gate = _inputs(tables, [h[context] for h in hashes], j, node)
                 s = self.stretched(x, gate)
                 p = 0.5 / (1 + np.exp(-s)) + 0.5 * self.refined[node, _cells(s)]
-                p = np.clip(p, 1e-5, 1 - 1e-5)
+                p = np.clip(p, 1e-5, 1 - 1e-5)[np.cumsum(first) - 1]
                 out[k : k + len(part), j] = np.where(bit == 1, p, 1 - p)
         return out
 
@@ -251,23 +360,14 @@ class Mixer:
         return -np.log2(self.chances(tables, code).astype(np.float64)).sum(axis=1)
 
 
-def laid(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of texts as modelled, each behind a lead of blanks, and where each text's bytes stop."""
-    lead = b" " * REACH
-    made = [lead + b" ".join(x) + END for x in texts]
-    return np.frombuffer(b"".join(made), np.uint8), np.cumsum([len(x) for x in made], dtype=np.int64)
-
-
-def runs_of(words: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all bytes of single words with what ends them, and the number of the word of each."""
-    lead = b" " * REACH
-    data = np.frombuffer(b"".join([lead + w for w in words]), np.uint8)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), size)
-    if not len(owner):
-        return np.zeros(0, np.uint64), owner
-    own = np.arange(len(owner)) + owner * REACH  # where a byte's own lead would start it
-    return runs(data)[own] | kinds.astype(np.uint64)[owner] << np.uint64(56), owner
+def runs_of(data: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Codes of all bytes of words that lie one behind the other with what ends them, each as behind a blank."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    own = np.arange(len(data)) + np.repeat(np.arange(len(size)) * REACH, size)  # where a byte's own lead would start it
+    led = np.full(len(data) + len(size) * REACH, 32, np.uint8)
+    led[own + REACH] = data
+    return runs(led)[own] | np.repeat(kinds.astype(np.uint64) << np.uint64(56), size)
 
 
 def _units(bits: np.ndarray) -> np.ndarray:
@@ -275,25 +375,16 @@ def _units(bits: np.ndarray) -> np.ndarray:
 
 
 class Costs:
-    """Costs of the words met last with what ends them, by kind, in units of 2^-20 bit."""
+    """Costs of words with what ends them, in units of 2^-20 bit; those of the byte runs met last are kept."""
 
     def __init__(self, mixer: Mixer, tables: Tables):
         self.mixer, self.tables = mixer, tables
-        self.numbers: dict[int, _Numbered] = {}
-        self.words: list[bytes] = []
-        self.kinds: list[int] = []
-        self.cost = np.zeros(0, np.int64)
         self.run, self.run_cost = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def forget(self) -> None:
-        """Forget the words, and the byte runs if there are many."""
-        run, cost = self.run, self.run_cost
-        self.__init__(self.mixer, self.tables)
-        if len(run) < 2 * HOLD:
-            self.run, self.run_cost = run, cost
-
     def of_runs(self, code: np.ndarray) -> np.ndarray:
         """Cost of each of some distinct byte runs in rising order."""
+        if len(self.run) > 2 * HOLD:
+            self.run, self.run_cost = self.run[:0], self.run_cost[:0]
         at = np.searchsorted(self.run, code)
         known = np.zeros(len(code), bool)
         inside = at < len(self.run)
@@ -304,30 +395,13 @@ class Costs:
         self.run, self.run_cost = np.insert(self.run, at[~known], code[~known]), np.insert(self.run_cost, at[~known], out[~known])
         return out
 
-    def numbered(self, texts: list[list[bytes]], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each word of each text, the last of which ends the text, and how many each has."""
-        if len(self.words) > HOLD // 4:
-            self.forget()
-        out: list[int] = []
-        for text, high in zip(texts, kinds):
-            number = self.numbers.get(high)
-            if number is None:
-                number = self.numbers[high] = _Numbered(self, high)
-            out.extend(map(number.__getitem__, text[:-1]))
-            out.append(number[(text[-1] if text else b"") + END])
-        return np.array(out, np.int64), np.array([max(1, len(x)) for x in texts], np.int64)
-
-    def fill(self) -> None:
-        """Cost the words that have none yet."""
-        at = len(self.cost)
-        new = [w if w.endswith(END) else w + b" " for w in self.words[at:]]
-        if new:
-            code, owner = runs_of(new, np.array(self.kinds[at:]))
-            unique, place = np.unique(code, return_inverse=True)
-            units = self.of_runs(unique)[place]
-            upto = np.r_[0, np.cumsum(units)]
-            stops = np.cumsum(np.bincount(owner, minlength=len(new)))
-            self.cost = np.r_[self.cost, upto[stops] - upto[np.r_[0, stops[:-1]]]]
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """Cost of each of some ``marked`` words."""
+        data, size, kinds = unmarked(words)
+        if not len(size):
+            return np.zeros(0, np.int64)
+        unique, place = np.unique(runs_of(data, size, kinds), return_inverse=True)
+        return np.add.reduceat(self.of_runs(unique)[place], np.cumsum(size) - size)
 
 
 #: The costs that this worker's earlier tasks worked out, of one model.
@@ -342,20 +416,6 @@ def kept_costs(model: int, mixer: Mixer, tables: Tables) -> Costs:
     return _KEPT[model]
 
 
-class _Numbered(dict):
-    """Words of one kind and their numbers among all that ``Costs`` holds."""
-
-    def __init__(self, costs: Costs, high: int):
-        super().__init__()
-        self.costs, self.high = costs, high
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = made = len(self.costs.words)
-        self.costs.words.append(word)
-        self.costs.kinds.append(self.high)
-        return made
-
-
 # ---- the words before
 
 
@@ -365,33 +425,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def followers(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, next8, text) of every token that has two words before it.
+def followers(data: np.ndarray, size: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, next8, text) of every token of ``spelt`` that has two words before it.
 
     ``context`` is a hash of those words; ``next8`` are the first eight bytes of the token with the
     blank or end behind it, big-endian, zeros behind.
     """
-    data, stops = laid(texts)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(x) + (not x) for x in texts])
-    starts = np.r_[0, stops[:-1]] + REACH
-    new = np.r_[True, owner[1:] != owner[:-1]]
-    size = np.array([len(w) for x in texts for w in (x or (b"",))], np.int64)
-    before = np.cumsum(size + 1) - size - 1  # token bytes before each token, leads left out
-    at = before + (owner + 1) * REACH
-    assert (at[new] == starts).all()
     padded = np.r_[np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)]
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    first = np.ascontiguousarray(eight[at + 8]).view(">u8")[:, 0].astype(np.uint64)
-    kept = np.minimum(size + 1, 8)
-    next8 = first >> (np.uint64(64) - np.uint64(8) * kept.astype(np.uint64)) << (np.uint64(64) - np.uint64(8) * kept.astype(np.uint64))
-    last = np.ascontiguousarray(eight[at + size]).view(">u8")[:, 0].astype(np.uint64)
-    short = np.minimum(size, 8).astype(np.uint64)
+    eight = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))  # the eight bytes from each on
+    stop = np.cumsum(size)
+    shift = np.uint64(8) * np.maximum(8 - size, 0).astype(np.uint64)
+    next8 = eight[stop - size + 8].astype(np.uint64) >> shift << shift
+    short = np.minimum(size - 1, 8).astype(np.uint64)
+    last = eight[stop - 1].astype(np.uint64)
     last = np.where(short > 0, last << (np.uint64(64) - np.uint64(8) * np.maximum(short, np.uint64(1))), np.uint64(0))
-    h = _mixed(next8 * _A ^ _mixed(last + size.astype(np.uint64) * _C))
-    place = np.arange(len(owner)) - np.flatnonzero(new)[owner]
-    own = np.flatnonzero(place >= 2)
+    h = _mixed(next8 * _A ^ _mixed(last + (size - 1).astype(np.uint64) * _C))
+    owner = np.repeat(np.arange(len(count)), count)
+    own = np.flatnonzero(np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) >= 2)
     context = _mixed(h[own - 1] * _A + _mixed(h[own - 2]))
     return context, next8[own], owner[own]
 
@@ -478,7 +528,8 @@ def _steps(mixer: Mixer, tables: Tables, next8: np.ndarray, kinds: np.ndarray, l
 
 def _alike(next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct (word, kind, likely word, level) of tokens, by kind and word; the tokens' order, and where each is in it."""
-    order = np.lexsort((next8, kinds))
+    order = np.argsort(next8)
+    order = order[np.argsort(kinds[order].astype(np.uint8), kind="stable")]
     word, high, guess, deep = next8[order], kinds[order].astype(np.uint64), likely[order], level[order].astype(np.int64)
     # tokens of one word and kind lie together; of those, one for each likely word and level
     start = np.r_[True, (word[1:] != word[:-1]) | (high[1:] != high[:-1])]
@@ -497,8 +548,9 @@ def _alike(next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.n
 
 
 def _coded(mixer: Mixer, tables: Tables, word: np.ndarray, high: np.ndarray, guess: np.ndarray) -> Iterator[tuple[np.ndarray, bool, np.ndarray, np.ndarray]]:
-    """(tokens, whether their bit is the likely word's, cells towards its bit, log2 of the mixed chance) for each bit that is
-    coded while the likely word agrees.  The mixed chances of a byte are worked out once for each start of a word of each kind."""
+    """(tokens, whether their bits are the likely word's, cells towards its bits, log2 of the mixed chances) of the bits that are
+    coded while the likely word agrees, cells and logs with a row for each token; logs are summed over a whole byte that agrees.
+    The mixed chances of a byte are worked out once for each start of a word of each kind."""
     size = np.zeros(len(word), np.int64)
     for i in range(8):
         size += (word >> np.uint64(56 - 8 * i) & np.uint64(255)) != 0
@@ -515,13 +567,17 @@ def _coded(mixer: Mixer, tables: Tables, word: np.ndarray, high: np.ndarray, gue
         code = (run & np.uint64((1 << 8 * (REACH + 1)) - 1)) | own_kind[first] << np.uint64(56)
         chance = mixer.chances(tables, code)
         st = np.log(chance / (1 - chance))
-        towards, against, log = _cells(st), _cells(-st), np.log2(chance.astype(np.float64))
+        towards, against, log = _cells(st).astype(np.uint8), _cells(-st).astype(np.uint8), np.log2(chance.astype(np.float64))
         of, came = np.cumsum(first) - 1, agree[own] - 8 * i
+        whole = came >= 8
+        yield own[whole], True, towards[of[whole]], log.sum(axis=1)[of[whole]]
+        part = np.flatnonzero(~whole)  # a token's last byte
+        own, of, came = own[part], of[part], came[part]
         for j in range(8):
             yes = came > j
-            yield own[yes], True, towards[of[yes], j], log[of[yes], j]
+            yield own[yes], True, towards[of[yes], j : j + 1], log[of[yes], j]
             missed = (came == j) & (8 * i + j < size[own])
-            yield own[missed], False, against[of[missed], j], log[of[missed], j]
+            yield own[missed], False, against[of[missed], j : j + 1], log[of[missed], j]
 
 
 def learn_agreements(mixer: Mixer, tables: Tables, next8: np.ndarray, kinds: np.ndarray, likely: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -529,9 +585,11 @@ def learn_agreements(mixer: Mixer, tables: Tables, next8: np.ndarray, kinds: np.
     counts = np.zeros(LEVELS * CELLS * 2)
     if len(next8):
         word, high, guess, deep, _, place = _alike(next8, kinds, likely, level)
-        n = np.bincount(place, minlength=len(word))
+        n = np.bincount(place, minlength=len(word)).astype(float)
+        deep = (deep * (2 * CELLS)).astype(np.int16)
         for rows, came, cell, _ in _coded(mixer, tables, word, high, guess):
-            counts += np.bincount((deep[rows] * CELLS + cell) * 2 + came, n[rows], len(counts))
+            at = deep[rows][:, None] + 2 * cell.astype(np.int16) + np.int16(came)
+            counts += np.bincount(at.reshape(-1), np.repeat(n[rows], cell.shape[1]), len(counts))
     return counts.astype(np.int64).reshape(LEVELS, CELLS, 2)
 
 
@@ -541,10 +599,11 @@ def savings(mixer: Mixer, tables: Tables, agreements: Agreements, next8: np.ndar
     if not len(out):
         return out
     word, high, guess, deep, order, place = _alike(next8, kinds, likely, level)
-    likely_p, other_p = np.log2(agreements.chance), np.log2(1 - agreements.chance)
-    gain = np.zeros(len(word))
+    likely_p, other_p = np.log2(agreements.chance).reshape(-1), np.log2(1 - agreements.chance).reshape(-1)
+    gain, deep = np.zeros(len(word)), (deep * CELLS).astype(np.int16)
     for rows, came, cell, log in _coded(mixer, tables, word, high, guess):
-        gain[rows] += (likely_p if came else other_p)[deep[rows], cell] - log
+        at = deep[rows][:, None] + cell
+        gain[rows] += (likely_p if came else other_p)[at].sum(axis=1) - log
     out[order] = _units(gain)[place]
     return out
 
@@ -558,37 +617,43 @@ def fold(folds: int) -> Column:
 
 
 def count_words(training: DataFrame) -> DataFrame:
-    """(word, kind, ends, late, n): how often each word comes in the texts of ``training`` (text, late, kind).
-
-    ``ends``: whether it ends its text; a text without words is one empty word.
-    """
+    """(word, a, b): how often each ``marked`` word comes in the texts of ``training`` (text, late, kind), early and late."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, Counter] = {}
-        held = 0
+        held: list[tuple] = []
         for batch in batches:
-            for text, late, high in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = tokens(text.as_py()) or [b""]
-                inner, last = (seen.setdefault((high, ends, late), Counter()) for ends in (False, True))
-                held -= len(inner) + len(last)
-                inner.update(words[:-1])
-                last[words[-1]] += 1
-                held += len(inner) + len(last)
-                if held > HOLD // 4:
-                    yield from _counted(seen)
-                    seen, held = {}, 0
-        yield from _counted(seen)
-
-    counted = training.select("text", "late", "kind").mapInArrow(run, "word binary, kind int, ends boolean, late boolean, n long")
-    return counted.groupBy("word", "kind", "ends", "late").agg(F.sum("n").alias("n"))
-
-
-def _counted(seen: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["word", "kind", "ends", "late", "n"], [pa.binary(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
-    for (high, ends, late), own in seen.items():
-        n = len(own)
-        columns = [list(own), [high] * n, [ends] * n, [late] * n, list(own.values())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for part in pieces(batch, 0):
+                late, kinds = part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy()
+                data, size, count = spelt(part.column(0))
+                named = marked(data, size, count, kinds)
+                at, n = np.asarray(named.indices), len(named.dictionary)
+                b = np.bincount(at[np.repeat(late, count)], minlength=n)
+                held.append((named.dictionary, np.bincount(at, minlength=n) - b, b))
+                if sum(len(x[0]) for x in held) > HOLD:
+                    held = [_summed(held)]
+                    if len(held[0][0]) > HOLD // 2:
+                        yield from _counted(*held.pop())
+        if held:
+            yield from _counted(*_summed(held))
+
+    counted = training.select("text", "late", "kind").mapInArrow(run, "word binary, a long, b long")
+    return counted.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _summed(held: list[tuple]) -> tuple:
+    """Distinct words and the sums of their counts."""
+    words, *counts = zip(*held)
+    if len(words) == 1:
+        return held[0]
+    named = pa.concat_arrays(words).dictionary_encode()
+    at, n = np.asarray(named.indices), len(named.dictionary)
+    return named.dictionary, *(np.bincount(at, np.concatenate(x), n).astype(np.int64) for x in counts)
+
+
+def _counted(words: pa.Array, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(words), HOLD // 8):
+        part = slice(k, k + HOLD // 8)
+        yield pa.RecordBatch.from_arrays([words[part].cast(pa.binary()), pa.array(a[part]), pa.array(b[part])], ["word", "a", "b"])
 
 
 def _totals(code: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -607,17 +672,15 @@ def count_runs(words: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, HOLD // 8):
                 part = batch.slice(k, HOLD // 8)
-                spelt = [w + (END if e else b" ") for w, e in zip(part.column(0).to_pylist(), part.column(2).to_pylist())]
-                made, owner = runs_of(spelt, part.column(1).to_numpy())
-                late, n = part.column(3).to_numpy(zero_copy_only=False)[owner], part.column(4).to_numpy()[owner]
-                new = _totals(made, np.where(late, 0, n), np.where(late, n, 0))
+                data, size, kinds = unmarked(part.column(0).cast(pa.large_binary()))
+                new = _totals(runs_of(data, size, kinds), *(np.repeat(part.column(i).to_numpy(), size) for i in (1, 2)))
                 code, a, b = _totals(*(np.concatenate(x) for x in zip((code, a, b), new)))
                 if len(code) > HOLD:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code.view(np.int64), a, b)], ["code", "a", "b"])
                     code, a, b = code[:0], a[:0], b[:0]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code.view(np.int64), a, b)], ["code", "a", "b"])
 
-    counted = words.select("word", "kind", "ends", "late", "n").mapInArrow(run, "code long, a long, b long")
+    counted = words.select("word", "a", "b").mapInArrow(run, "code long, a long, b long")
     return counted.groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -631,12 +694,16 @@ def _arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    return len(arrays[0]).to_bytes(8, "little") + pa.compress(b"".join(x.tobytes() for x in arrays), "zstd", asbytes=True)
+
+
 def _dealt(place: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     """One row (place, compressed blob) of the arrays' rows of each place."""
     order = np.argsort(place, kind="stable")
     edges = np.flatnonzero(np.diff(place[order])) + 1
     groups = np.split(order, edges) if len(order) else []
-    blobs = [len(g).to_bytes(8, "little") + pa.compress(b"".join(x[g].tobytes() for x in arrays), "zstd", asbytes=True) for g in groups]
+    blobs = [_packed(*(x[g] for x in arrays)) for g in groups]
     return pa.RecordBatch.from_arrays([pa.array([int(place[g[0]]) for g in groups], pa.int32()), pa.array(blobs, pa.binary())], ["place", "blob"])
 
 
@@ -723,9 +790,12 @@ def learn_mixer(runs_: DataFrame, early: Tables) -> Mixer:
 
 #: Columns of the tokens that are looked up: 32 bits of the context beside those that chose the place (a context meets
 #: another of its place once in some thousands, at any size of the corpus), next8, steps between rows (of one block), kind,
-#: whether they teach: 0 no, 1 early, 2 late, 3 repeats for other salts, and how often.
+#: use (0 is asked only, 1 early and 2 late texts, 3 and 4 their repeats for other salts), and how often they teach.
 _TOKENS = ("u4", "u8", "u2", "u1", "u1", "u4")
 
+#: Neighbouring rows whose savings travel together.
+SLICE = 1 << 12
+
 #: Rows and bytes of a block of texts that is dealt at once (one text may be longer).
 BLOCK, BLOCK_BYTES = 1024, 1 << 21
 
@@ -746,7 +816,7 @@ def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _sent(place: np.ndarray, row: np.ndarray, *arrays: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """The places and a blob of each; ``row`` (offsets that never fall within a place) leaves as steps."""
-    order = np.argsort(place.astype(np.uint32), kind="stable")
+    order = np.argsort(place.astype(np.uint16 if len(place) and place.max() < 1 << 16 else np.uint32), kind="stable")
     place, row = place[order], row[order]
     edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
     step = np.diff(row, prepend=0)
@@ -775,53 +845,128 @@ def _received(base: int, blob: bytes) -> list[np.ndarray]:
     return [context, next8, base + np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 8), kinds, use, times]
 
 
-def look_up(docs: DataFrame, tasks: int, hot: np.ndarray, work, schema: str, least: int = 0) -> DataFrame:
-    """Deal all tokens of ``docs`` (text, row, use, kind) by their context and apply ``work`` to each place's arrays.
+def deal(docs: DataFrame, tasks: int, hot: np.ndarray) -> DataFrame:
+    """(place, base, blob): all tokens of ``docs`` (text, row, use, kind), dealt by their context.
 
-    ``use``: 0 is asked only, 1 teaches and is asked, 2 is taught by 1 in a rehearsal.  What a batch teaches is counted
-    first; hot contexts are dealt to ``SALTS`` places by row, and what they teach goes to all of these.  ``work`` gets tokens
-    of use ``least`` or more.
+    ``use``: 0 is asked only, 1 (early) and 2 (late) teach and are asked.  Hot contexts are dealt to ``SALTS`` places by row,
+    and what they teach, counted for each block, goes to all of these.
     """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _KEPT.clear()  # scoring is over; its memory is wanted here
         pa.default_memory_pool().release_unused()
         for batch in batches:
             for part in blocks(batch):
-                context, next8, text = followers([tokens(x.as_py()) for x in part.column(0)])
+                context, next8, text = followers(*spelt(part.column(0)))
                 base = part.column(1)[0].as_py()
                 row, use, kinds = (part.column(i).to_numpy()[text] for i in (1, 2, 3))
                 row, use = row - base, use.astype(np.uint8)
                 place = (context >> np.uint64(32)) % np.uint64(tasks)
                 many = np.isin(context, hot)
                 place = np.where(many, (place + row.astype(np.uint64) % np.uint64(SALTS)) % np.uint64(tasks), place).astype(np.int64)
-                n = np.where(many, 0, use == 1).astype(np.int64)  # what hot contexts teach follows, summed
+                n = np.where(many, 0, use > 0).astype(np.int64)  # what hot contexts teach follows, summed
                 parts = [(place, row, context, next8, kinds, use, n)]
-                if (many & (use == 1)).any():
-                    pairs, times = np.unique(np.stack([context, next8], axis=1)[many & (use == 1)], axis=0, return_counts=True)
-                    last, none, three = np.full(len(pairs), row[-1]), np.zeros(len(pairs), np.uint8), np.full(len(pairs), 3, np.uint8)
+                for taught in (1, 2):
+                    own = many & (use == taught)
+                    if not own.any():
+                        continue
+                    pairs, times = np.unique(np.stack([context, next8], axis=1)[own], axis=0, return_counts=True)
+                    last, none, repeat = np.full(len(pairs), row[-1]), np.zeros(len(pairs), np.uint8), np.full(len(pairs), taught + 2, np.uint8)
                     for salt in range(min(SALTS, tasks)):
                         to = (((pairs[:, 0] >> np.uint64(32)) % np.uint64(tasks) + np.uint64(salt)) % np.uint64(tasks)).astype(np.int64)
-                        parts.append((to, last, pairs[:, 0], pairs[:, 1], none, three, times))
+                        parts.append((to, last, pairs[:, 0], pairs[:, 1], none, repeat, times))
                 place, row, context, *arrays = (np.concatenate(x) for x in zip(*parts))
                 to, blobs = _sent(place, row, context & np.uint64(0xFFFFFFFF), *arrays)
                 yield pa.RecordBatch.from_arrays([to, pa.array(np.full(len(to), base, np.int64)), blobs], ["place", "base", "blob"])
 
+    dealt = docs.select("text", "row", "use", "kind").mapInArrow(run, "place int, base long, blob binary")
+    return dealt.repartitionById(tasks, F.col("place"))
+
+
+def _places(held: dict[int, list], rehearsal: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """next8, row, kind, likely word and level of the tokens of each place whose context was taught.
+
+    In the ``rehearsal`` early texts teach and late ones are asked, else both teach and all are asked.
+    """
+    for place in sorted(held):
+        got = held.pop(place)
+        for i, (base, blob) in enumerate(got):
+            got[i] = _received(base, blob)
+            if rehearsal:
+                wanted = np.isin(got[i][4], (1, 2, 3))
+                got[i] = [x[wanted] for x in got[i]]
+        context, next8, row, kinds, use, n = (np.concatenate(x) for x in zip(*got))
+        del got
+        known, likely, level = likeliest(context, next8, np.where(use == 2, 0, n) if rehearsal else n.astype(np.int64))
+        seen = np.flatnonzero(known & ((use == 2) if rehearsal else (use <= 2)))
+        asked = [x[seen] for x in (next8, row, kinds, likely, level)]
+        del context, next8, row, kinds, use, n, known, likely, level, seen  # a place's arrays are a worker's largest
+        yield asked
+
+
+def rehearse(dealt: DataFrame, mixer: Mixer, early: Tables) -> DataFrame:
+    """One row (chance): the map's chances, float64, as the late texts teach them when early ones alone are known."""
+    shared = dealt.sparkSession.sparkContext.broadcast((mixer, early))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for place, base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                held.setdefault(place, []).append(_received(base, blob.as_py()))
-        for place in sorted(held):
-            asked = [np.concatenate(x) for x in zip(*held.pop(place))]
-            known, likely, level = likeliest(asked[0], asked[1], asked[5].astype(np.int64))
-            seen = np.flatnonzero(known & (asked[4] >= least) & (asked[4] != 3))
-            asked = [x[seen] for x in (*asked[1:5], likely, level)]
-            del known, likely, level, seen  # a place's arrays are a worker's largest
-            yield work(*asked)
+            for place, base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held.setdefault(place, []).append((base, blob))
+        for next8, _, kinds, likely, level in _places(held, True):
+            counts = learn_agreements(*shared.value, next8, kinds, likely, level)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.reshape(-1)[at])], ["at", "n"])
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        agreements, counts = Agreements(), np.zeros(LEVELS * CELLS * 2)
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[at] = n
+        agreements.refine(counts.reshape(LEVELS, CELLS, 2))
+        yield pa.RecordBatch.from_arrays([pa.array([agreements.chance.tobytes()], pa.binary())], ["chance"])
+
+    counted = dealt.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return counted.coalesce(1).mapInArrow(refine, "chance binary")
+
+
+def save(dealt: DataFrame, chance: DataFrame, mixer: Mixer, tables: Tables) -> DataFrame:
+    """(row, saved): what the tokens of each row cost less for their likely words, in units of 2^-20 bit; ``chance``: see ``rehearse``."""
+    shared = dealt.sparkSession.sparkContext.broadcast((mixer, tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        agreements = Agreements()
+        for batch in batches:
+            if batch.num_rows:
+                agreements.chance = np.frombuffer(batch.column(3)[0].as_py()).reshape(LEVELS, CELLS)
+            for place, base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held.setdefault(place, []).append((base, blob))
+        for next8, row, kinds, likely, level in _places(held, False):
+            saved = savings(*shared.value, agreements, next8, kinds, likely, level)
+            order = np.argsort(row)
+            row, saved = row[order], saved[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+            row, saved = row[first], np.add.reduceat(saved, first) if len(row) else saved
+            part, at = row // SLICE, (row % SLICE).astype(np.uint16)
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+            blobs = [_packed(at[a:b], saved[a:b]) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(part)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges]), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, saved = _arrays(blob.as_py(), "u2", "i8")
+                if part not in sums:
+                    sums[part] = np.zeros(SLICE, np.int64)
+                np.add.at(sums[part], at, saved)
+        for part, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(part * SLICE + at), pa.array(own[at])], ["row", "saved"])
 
-    dealt = docs.select("text", "row", "use", "kind").mapInArrow(deal, "place int, base long, blob binary")
-    return dealt.repartitionById(tasks, F.col("place")).mapInArrow(run, schema)
+    saved = dealt.crossJoin(F.broadcast(chance)).mapInArrow(run, "part long, blob binary")
+    return saved.repartition("part").mapInArrow(sum_up, "row long, saved long")
 
 
 def hot_contexts(docs: DataFrame) -> np.ndarray:
@@ -830,7 +975,7 @@ def hot_contexts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
-                context = followers([tokens(x.as_py()) for x in batch.column(0).slice(k, 2048)])[0]
+                context = followers(*spelt(batch.column(0).slice(k, 2048)))[0]
                 unique, n = np.unique(context, return_counts=True)
                 many = n >= max(HOT_LEAST, len(context) // HOT)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[unique[many].view(np.int64), 0]), pa.array(np.r_[n[many], len(context)]), pa.array(np.r_[many[many], False])], ["context", "n", "many"])
@@ -847,35 +992,33 @@ def numbered(docs: DataFrame, held: Column, late: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = pa.array([kind(tokens(x.as_py())) for x in batch.column(1)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, kinds], [*batch.schema.names, "kind"])
+            for part in pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kinds_of(part.column(1)).astype(np.int32))], [*batch.schema.names, "kind"])
 
     known = docs.select("doc_id", "text", held.alias("held_out"), late.alias("late"), F.monotonically_increasing_id().alias("row"))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, held_out boolean, late boolean, row long, kind int"
-    return materialize(known.mapInArrow(run, kinds), "numbered")
+    return materialize(known.mapInArrow(run, kinds), "numbered", compression="zstd")
 
 
-def train(known: DataFrame, words: DataFrame, hot: np.ndarray, tasks: int) -> tuple[Mixer, Tables, Agreements]:
-    """Mixer, tables and map from the texts of ``known`` (text, row, kind, held_out, late) that are not held out; ``words``: their counts."""
-    spark = known.sparkSession
-    training = known.filter(~F.col("held_out"))
+def learn(words: DataFrame) -> tuple[Mixer, Tables, Tables]:
+    """Mixer, tables of the early texts and of all, from the counts of ``marked`` words."""
     counted = materialize(count_runs(words), "runs")
     early, final = build_tables(counted)
-    mixer, agreements = learn_mixer(counted, early), Agreements()
+    mixer = learn_mixer(counted, early)
     discard(counted)
-    shared = spark.sparkContext.broadcast((mixer, early))
+    return mixer, early, final
 
-    def rehearse(next8, row, kinds, use, likely, level):  # noqa: ANN001, ANN202
-        counts = learn_agreements(*shared.value, next8, kinds, likely, level)
-        at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.reshape(-1)[at])], ["at", "n"])
 
-    asked = training.withColumn("use", F.when(F.col("late"), 2).otherwise(1))
-    seen = look_up(asked, tasks, hot, rehearse, "at long, n long", least=2).groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(LEVELS * CELLS * 2)
-    counts[seen.column(0).to_numpy()] = seen.column(1).to_numpy()
-    agreements.refine(counts.reshape(LEVELS, CELLS, 2))
-    free_shuffles(spark)  # all tokens have been dealt, and will be again
+def _asked(known: DataFrame) -> DataFrame:
+    return known.withColumn("use", F.when(F.col("held_out"), 0).when(F.col("late"), 2).otherwise(1))
+
+
+def train(known: DataFrame, words: DataFrame, hot: np.ndarray, tasks: int) -> tuple[Mixer, Tables, Agreements]:
+    """Mixer, tables and map from the texts of ``known`` (text, row, kind, held_out, late) that are not held out; ``words``: their counts."""
+    mixer, early, final = learn(words)
+    agreements = Agreements()
+    found = rehearse(deal(_asked(known.filter(~F.col("held_out"))), tasks, hot), mixer, early).first()
+    agreements.chance = np.frombuffer(bytes(found.chance)).reshape(LEVELS, CELLS)
     return mixer, final, agreements
 
 
@@ -887,11 +1030,13 @@ def score_documents(docs: DataFrame, held: Column, late: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     known = numbered(docs, held, late)
-    by_kind = materialize(count_words(known.filter(~F.col("held_out"))), "words_by_kind")
-    ended = by_kind.filter("ends").select(F.lit(b"").alias("word"), "n")
-    words = by_kind.filter(F.octet_length("word") > 0).select("word", "n").unionByName(ended).groupBy("word").agg(F.sum("n").alias("n"))
-    words = materialize(words, "words")
+    training = known.filter(~F.col("held_out"))
+    by_kind = materialize(count_words(training), "words_by_kind")
+    end = training.count()  # of the ends of texts, which are tokens too
+    plain = by_kind.filter(F.octet_length("word") > 1).select(F.expr("substring(word, 1, octet_length(word) - 1)").alias("word"), (F.col("a") + F.col("b")).alias("n"))
+    words = materialize(plain.groupBy("word").agg(F.sum("n").alias("n")), "words")
     n, v = (int(x or 0) for x in words.agg(F.sum("n"), F.count("n")).first())
+    n, v = n + end, v + (end > 0)
     base = math.log10(n + 0.5 * (v + 1))
     step = F.floor(F.log2("n") * 8).cast("int")
     bound, total = 1 << 62, 0
@@ -901,45 +1046,43 @@ def score_documents(docs: DataFrame, held: Column, late: Column) -> DataFrame:
             break
         bound = row.step
     head = words.filter(step >= bound).toArrow()
-    costs = {w: math.log10(c + 0.5) - base for w, c in zip(head.column(0).to_pylist(), head.column(1).to_pylist())}
+    costs = head.column(0).cast(pa.large_binary()).combine_chunks(), np.array([math.log10(c + 0.5) for c in head.column(1).to_pylist()]) - base
     free_shuffles(spark)
     hot = hot_contexts(known)
     tasks = max(8, -(-n // PER_TASK))
-    mixer, tables, agreements = train(known, by_kind, hot, tasks)
+    mixer, early, tables = learn(by_kind)
     discard(by_kind)
-    shared = spark.sparkContext.broadcast((mixer, tables, agreements, costs))
+    shared = spark.sparkContext.broadcast((mixer, tables, costs))
     model = uuid.uuid4().int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, tables, _, head = shared.value
-        costs, paid = kept_costs(model, mixer, tables), np.zeros(0)
+        mixer, tables, (known_head, paid_head) = shared.value
+        costs = kept_costs(model, mixer, tables)
         start = int(math.log2(KINDS) * _UNIT)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = [tokens(x.as_py()) for x in part.column(1)]
-                number, size = costs.numbered(texts, part.column(4).to_pylist())
-                if len(paid) > len(costs.words):  # they have been forgotten
-                    paid = paid[:0]
-                costs.fill()
-                new = [w.rstrip(END) for w in costs.words[len(paid) :]]
-                paid = np.r_[paid, np.array([head.get(w, np.nan) if w else 0.0 for w in new], float)]
-                first = np.cumsum(size) - size
-                cost, base = np.add.reduceat(costs.cost[number], first) + start, paid[number]
+            for part in pieces(batch, 1):
+                data, size, count = spelt(part.column(1))
+                named = marked(data, size, count, part.column(4).to_numpy())
+                number, plain = np.asarray(named.indices), pc.binary_slice(named.dictionary, 0, -1)
+                at = pc.index_in(plain, value_set=known_head)
+                paid = np.r_[paid_head, np.nan][np.asarray(at.fill_null(len(paid_head)))]
+                paid[np.asarray(pc.binary_length(plain)) == 0] = 0.0
+                first = np.cumsum(count) - count
+                cost, base = np.add.reduceat(costs.of_words(named.dictionary)[number], first) + start, paid[number]
                 rare = np.isnan(base)
-                of_text = np.repeat(np.arange(len(texts)), size)
-                per_text = np.bincount(of_text[rare], minlength=len(texts))
-                tail = pa.array([costs.words[x].rstrip(END) for x in number[rare].tolist()], pa.binary())
+                of_text = np.repeat(np.arange(len(count)), count)
+                per_text = np.bincount(of_text[rare], minlength=len(count))
+                tail = plain.take(pa.array(number[rare])).cast(pa.binary())
                 rest = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_text)], pa.int32()), tail)
                 units = np.add.reduceat(np.rint(np.where(rare, 0, base) * _FINE).astype(np.int64), first)
-                known_words = np.array([len(x) for x in texts]) - per_text
-                columns = [part.column(0), part.column(2), part.column(3), pa.array([len(x) + 1 for x in texts], pa.int64()), pa.array([sum(map(len, x)) + max(1, len(x)) for x in texts], pa.int64())]
-                columns += [pa.array(cost), pa.array(units / _FINE), pa.array(known_words, pa.int64()), rest]
+                n_words = np.add.reduceat((size > 1).astype(np.int64), first)
+                columns = [part.column(0), part.column(2), part.column(3), pa.array(n_words + 1), pa.array(np.add.reduceat(size, first))]
+                columns += [pa.array(cost), pa.array(units / _FINE), pa.array(n_words - per_text), rest]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "row", "n_tokens", "n_bytes", "cost", "head", "head_known", "tail"])
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {kind_of_id}, held_out boolean, row long, n_tokens long, n_bytes long, cost long, head double, head_known long, tail array<binary>"
-    made = materialize(known.select("doc_id", "text", "held_out", "row", "kind").mapInArrow(run, kinds), "scored")
+    made = materialize(known.select("doc_id", "text", "held_out", "row", "kind").mapInArrow(run, kinds), "scored_words")
 
     rare = words.filter(step < bound).select("word", "n")
     tail = made.select("row", F.explode("tail").alias("word")).join(rare, "word", "left")
@@ -947,20 +1090,14 @@ def score_documents(docs: DataFrame, held: Column, late: Column) -> DataFrame:
     # whole units here too, so that the sum does not depend on its order
     unit = F.round((F.log10(c + 0.5) - F.lit(base)) * _FINE).cast("long")
     tail = tail.groupBy("row").agg((F.sum(unit) / _FINE).alias("tail_sum"), F.sum((c > 0).cast("long")).alias("tail_known"))
-    tail = materialize(tail, "tails")
-    free_shuffles(spark)
-
-    def save(next8, row, kinds, use, likely, level):  # noqa: ANN001, ANN202
-        saved = savings(*shared.value[:3], next8, kinds, likely, level)
-        unique, place = np.unique(row, return_inverse=True)
-        sums = np.zeros(len(unique), np.int64)
-        np.add.at(sums, place, saved)
-        return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(sums)], ["row", "saved"])
-
-    asked = known.withColumn("use", F.when(F.col("held_out"), 0).otherwise(1))
-    saved = look_up(asked, tasks, hot, save, "row long, saved long").groupBy("row").agg(F.sum("saved").alias("saved"))
-    end = words.filter(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = made.drop("tail").join(tail, "row", "left").join(saved, "row", "left")
+    scored = materialize(made.drop("tail").join(tail, "row", "left"), "scored")
+    discard(made)
+    discard(words)
+    free_shuffles(spark)  # the deal of all tokens wants the room
+
+    dealt = deal(_asked(known), tasks, hot)  # one shuffle, read by the rehearsal and then by what is saved
+    saved = save(dealt, rehearse(dealt, mixer, early), mixer, tables)
+    joined = scored.join(saved, "row", "left")
     cost = F.col("cost") - F.coalesce("saved", F.lit(0))
     return joined.select(
         "doc_id",

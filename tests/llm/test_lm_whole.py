@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skeinwork.llm import lm
@@ -47,3 +48,21 @@ def test_agreements_count_every_coded_bit():
         deep = np.broadcast_to(level[part][:, None], cell.shape)
         np.add.at(want, (deep[used], cell[used], came[used].astype(int)), 1)
     assert np.array_equal(lm.learn_agreements(mixer, tables, next8, kinds, likely, level), want)
+
+
+def test_whole_arrays_of_texts_are_taken_as_single_texts():
+    texts = ["A b  c b", None, "", " \n", "é ÀB é zz zz", "x" * 20 + " y", "\tq\x0br\fs ", "\x1c\x85 k"]
+    for start in range(3):
+        own = texts[start:]
+        data, size, count = lm.spelt(pa.array(texts).slice(start))
+        words = [lm.tokens(x) or [b""] for x in own]
+        assert data.tobytes() == b"".join(b" ".join(x) + lm.END for x in words)
+        assert size.tolist() == [len(w) + 1 for x in words for w in x] and count.tolist() == [len(x) for x in words]
+        assert lm.kinds_of(pa.array(own)).tolist() == [lm.kind(lm.tokens(x)) for x in own]
+
+
+def test_tokens_are_dealt_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} d a b") for i in range(40)], "doc_id long, text string")
+    got = lm.score_documents(docs, lm.fold(5) == 1, lm.fold(5) == 0)
+    assert len(got.collect()) == 40
+    assert "ReusedExchange [place" in got._jdf.queryExecution().executedPlan().toString()
