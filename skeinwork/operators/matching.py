@@ -131,6 +131,35 @@ def with_track_keys(rows: DataFrame, artist: str, title: str) -> DataFrame:
     return made.withColumn("_same", F.when(F.col("_core").isNotNull(), F.concat_ws("|", "_core", F.array_join(text.variant_kinds(F.col(title)), " "))))
 
 
+def track_spellings(rows: DataFrame) -> DataFrame:
+    """What ``with_track_keys`` makes of each distinct artist and title of ``rows``, worked out once and written, with ``_blocks``.
+
+    Rows that a level of ``track_levels`` pairs have a block in common: a hash of the title, or of its core.
+    """
+    made = with_track_keys(rows.select("artist", "title").distinct(), "artist", "title")
+    hashed = [F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("_title", "_core")]
+    return materialize(made.withColumn("_blocks", F.array_distinct(F.array_compact(F.array(*hashed)))), "spellings")
+
+
+def spelled(rows: DataFrame, spellings: DataFrame) -> DataFrame:
+    """``rows`` with what ``track_spellings`` has for their artist and title, which may be null."""
+    made = spellings.withColumnsRenamed({"artist": "_by", "title": "_of"})
+    return rows.join(made, F.col("artist").eqNullSafe(F.col("_by")) & F.col("title").eqNullSafe(F.col("_of"))).drop("_by", "_of")
+
+
+def with_partners(rows: DataFrame, group: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """Left and right rows that share a group and a block with a row of the other side: group, l_ord or r_ord, item; each once.
+
+    ``rows``: group, side (0 left, 1 right), ord, item, block, a row for each block.  One pass over narrow rows, after which ``match_by_score``
+    needs the keys of these rows only.  Hashes may collide: a row too many has no partner in any level.
+    """
+    met = rows.filter(F.col(group).isNotNull()).select(group, "side", "ord", item, F.xxhash64(group, "block").alias("_meet"))
+    both = Window.partitionBy("_meet")  # one number to sort by
+    met = met.withColumns({"_least": F.min("side").over(both), "_most": F.max("side").over(both)}).filter("_least < _most")
+    met = materialize(met.select(group, "side", "ord", item).distinct(), "partners")
+    return tuple(met.filter(F.col("side") == side).select(group, F.col("ord").alias(name), item) for side, name in enumerate(("l_ord", "r_ord")))
+
+
 def track_levels() -> list[tuple[int, Column, Column]]:
     """Levels for rows of ``with_track_keys``: 8 points for a title, 5 for one that is the same but for its writing; 4 for an artist, 2
     for the same members, none where one side names no artist; other artists contradict."""

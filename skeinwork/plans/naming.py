@@ -56,9 +56,12 @@ l AS MATERIALIZED (SELECT l_orderkey AS g, ord, t, CASE WHEN p_size % 4 > 0 THEN
        + _levels_sql([(12, "t || a", "t || a"), (8, "CASE WHEN a IS NULL THEN t END", "t"), (8, "t", "CASE WHEN a IS NULL THEN t END")]))
 def match_by_score(t):
     """Lines of an order against those of the next: by name and brand, then by name where one side has no brand (J-15)."""
-    one = matching.first_of(t("lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice"))
-    lines = one.join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
-    left = lines.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("l_ord"), F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("artist"), F.col("p_name").alias("title"))
-    right = lines.select((F.col("l_orderkey") - 1).alias("g"), F.col("l_linenumber").alias("r_ord"), F.when(F.col("p_size") % 3 > 0, F.upper("p_brand")).alias("artist"), F.upper("p_name").alias("title"))
-    left, right = (matching.with_track_keys(x, "artist", "title") for x in (left, right))
-    return matching.match_by_score(left, right, "g", matching.track_levels())
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("ord")).agg(F.min("l_partkey").alias("p_partkey"))
+    ours = t("part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("artist"), F.col("p_name").alias("title"))
+    theirs = t("part").select("p_partkey", F.when(F.col("p_size") % 3 > 0, F.upper("p_brand")).alias("artist"), F.upper("p_name").alias("title"))
+    spellings = matching.track_spellings(ours.unionByName(theirs))
+    ours, theirs = (matching.spelled(x, spellings) for x in (ours, theirs))
+    blocks = [x.select("p_partkey", F.lit(side).alias("side"), F.explode("_blocks").alias("block")) for side, x in enumerate((ours, theirs))]
+    rows = lines.join(blocks[0].unionByName(blocks[1]), "p_partkey").withColumn("g", F.col("g") - F.col("side"))
+    left, right = matching.with_partners(rows, "g", "p_partkey")
+    return matching.match_by_score(left.join(ours, "p_partkey"), right.join(theirs, "p_partkey"), "g", matching.track_levels())
